@@ -249,25 +249,38 @@ def _cell_forest(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     return p, c
 
 
-def farthest_first(x: np.ndarray, quota: np.ndarray, group: np.ndarray, start: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Rows chosen farthest first, at most ``quota[g]`` of group g: (rows in the order of choice, cosine distance to the choice before).
+#: A row within this cosine distance of a chosen one adds no variety, so no reserved place is spent on it.
+NEAR = 0.14
 
-    The first row is the one least similar to the mean; ties go to the smaller row. A group whose quota is used up is closed.
+
+def farthest_first(x: np.ndarray, size: int, reserve: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``size`` rows chosen farthest first: (rows in the order of choice, cosine distance to the nearest one chosen before).
+
+    First the reserved places go to their groups, as long as a group has a row that isn't near a chosen one; then the farthest
+    row of all is taken. The first row is the one least similar to the mean; ties go to the smaller row.
     """
     n = len(x)
-    left = quota.astype(np.int64).copy()
-    total = int(min(n, np.minimum(left, np.bincount(group, minlength=len(left))).sum()))
+    total = min(n, int(size))
     out, dist = np.empty(total, np.int64), np.empty(total)
-    far = 1 - x @ x.mean(axis=0) if n else np.empty(0)
-    cover = np.full(n, np.inf)
-    open_ = left[group] > 0
+    if not total:
+        return out, dist
+    left = np.minimum(reserve, np.bincount(group, minlength=len(reserve)))
+    cover = 1 - x @ x.mean(axis=0)
+    free = np.ones(n, bool)
+    held = left[group] > 0
     for i in range(total):
-        score = np.where(open_, far if i == 0 else cover, -np.inf)
-        j = int(np.argmax(score)) if start is None or i else start
-        out[i], dist[i] = j, score[j]
-        np.minimum(cover, 1 - x @ x[j], out=cover)
-        open_[j] = False
+        j = -1
+        if held.any():
+            j = int(np.argmax(np.where(held, cover, -2)))
+            if i and cover[j] <= NEAR:
+                held[:], j = False, -1
+        if j < 0:
+            j = int(np.argmax(np.where(free, cover, -2)))
+        out[i], dist[i] = j, cover[j]
+        gone = 1 - x @ x[j]
+        cover = gone if i == 0 else np.minimum(cover, gone)
+        free[j] = held[j] = False
         left[group[j]] -= 1
         if left[group[j]] == 0:
-            open_ &= group != group[j]
+            held &= group != group[j]
     return out, dist

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import table
 from .clusters import describe_clusters, similarity_clusters
 from .neighbours import similar_pairs, similar_vectors
+from .subset import varied_subsets
 from .vectors import unpack_id
 
 
@@ -32,5 +33,11 @@ def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("collection", unpack_id(F.col("id")).alias("id"), unpack_id(F.col("other")).alias("other"), "similarity")
 
 
-QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p5_found": p5_found, "p5_neighbours": p5_neighbours}
+def p3_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen vectors of every request, in the order of choice."""
+    s = varied_subsets(table(spark, sf_dir, "vectors"), table(spark, sf_dir, "subset_requests"))
+    return s.select("request_id", F.col("rank").cast("bigint").alias("rank"), unpack_id(F.col("id")).alias("id"), "grp", F.round("distance", 6).alias("distance"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p3_subsets": p3_subsets, "p5_found": p5_found, "p5_neighbours": p5_neighbours}
 from .oracles import SQL  # noqa: E402, F401

@@ -31,18 +31,17 @@ def unpack_id(c: Column) -> Column:
     return F.when(F.substring(c, 1, 1) == F.lit(b"u"), plain).otherwise(rest.cast("string"))
 
 
-def usable_vectors(vectors: DataFrame, dims: int = 64, *extra: Column) -> DataFrame:
+def usable_vectors(vectors: DataFrame, dims: int = 64, *extra: str) -> DataFrame:
     """``collection, id, data``: each id of a collection once, in packed form.
 
     Usable is data of exactly ``dims`` finite elements that aren't all zero. Rows without id or collection are left out. Of
     several usable rows of an id the last by ``ingested_at`` counts. ``extra`` columns come from the same row.
     """
     square = F.aggregate(F.col("data"), F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double") * x.cast("double"))
-    names = [c._jc.toString().split(" AS ")[-1].strip("`") for c in extra]
     rows = vectors.select("collection", plain_uuid(F.col("id")).alias("id"), "data", "ingested_at", *extra)
     rows = rows.where(F.col("collection").isNotNull() & F.col("id").isNotNull() & (F.size("data") == dims))
     rows = rows.withColumn("square", square).where((F.col("square") > 0) & (F.col("square") < float("inf")))
-    rows = rows.select("collection", pack_id(F.col("id")).alias("id"), F.struct("data", *names).alias("r"), "ingested_at")
+    rows = rows.select("collection", pack_id(F.col("id")).alias("id"), F.struct("data", *extra).alias("r"), "ingested_at")
     last = rows.groupBy("collection", "id").agg(F.max_by("r", F.struct("ingested_at", F.xxhash64("r"))).alias("r"))
     return last.select("collection", "id", "r.*")
 
