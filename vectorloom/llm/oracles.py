@@ -27,4 +27,5 @@ t AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(f, 9)
 SELECT t.collection, t.cluster_id, z.size, round(t.affinity, 6) AS affinity, t."rank", t.id, round(t.f, 6) AS member_affinity FROM t JOIN z USING (cluster_id) WHERE t."rank" <= 3""",
     "p5_found": NEAREST + "SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM n",
     "p5_neighbours": NEAREST + "SELECT collection, id, other, similarity FROM n",
+    "p6_round_trip": "SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars, true AS same FROM documents",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
+from .encode import decode_ids, encode_texts
 from .clusters import describe_clusters, similarity_clusters
 from .neighbours import similar_pairs, similar_vectors
 from .subset import varied_subsets
@@ -39,5 +40,16 @@ def p3_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("request_id", F.col("rank").cast("bigint").alias("rank"), unpack_id(F.col("id")).alias("id"), "grp", F.round("distance", 6).alias("distance"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p3_subsets": p3_subsets, "p5_found": p5_found, "p5_neighbours": p5_neighbours}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"))
+
+
+def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document decoded again, and whether that gives its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = decode_ids(encode_texts(docs), out="decoded")
+    return docs.join(decoded, "doc_id").select("doc_id", F.length("decoded").cast("bigint").alias("n_chars"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p3_subsets": p3_subsets, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip}
 from .oracles import SQL  # noqa: E402, F401
