@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import table
 from .encode import decode_ids, encode_texts
 from .clusters import describe_clusters, similarity_clusters
+from .mixture import mix_documents, mix_report
 from .neighbours import similar_pairs, similar_vectors
 from .subset import varied_subsets
 from .vectors import unpack_id
@@ -51,5 +52,14 @@ def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(decoded, "doc_id").select("doc_id", F.length("decoded").cast("bigint").alias("n_chars"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p3_subsets": p3_subsets, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip}
+def p7_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of every mix."""
+    return mix_report(*mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")))
+
+
+QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p3_subsets": p3_subsets, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_drawn": p7_drawn, "p7_shares": p7_shares}
 from .oracles import SQL  # noqa: E402, F401
