@@ -10,6 +10,7 @@ from .clusters import describe_clusters, similarity_clusters
 from .mixture import mix_documents, mix_report
 from .neighbours import similar_pairs, similar_vectors
 from .subset import varied_subsets
+from .toxicity import THRESHOLD, source_rates, toxicity_scores
 from .vectors import unpack_id
 
 
@@ -61,5 +62,21 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(*mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p3_subsets": p3_subsets, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_drawn": p7_drawn, "p7_shares": p7_shares}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"), keep=())
+    return s.where(F.col("p_toxic") >= THRESHOLD).select("doc_id").distinct()
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's scores."""
+    s = toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
+    return s.select("doc_id", "source", *(F.round(c, 4).alias(c) for c in s.columns if c.startswith("p_")))
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate of each source."""
+    return source_rates(toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels")))
+
+
+QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p3_subsets": p3_subsets, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_drawn": p7_drawn, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 from .oracles import SQL  # noqa: E402, F401
