@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 from .vector import mean
@@ -25,12 +23,13 @@ def scalar_dequantize(q: Column) -> Column:
 def binary_quantize(v: Column, dim: int) -> Column:
     """``words`` of 64 bits, the lowest first: whether an element is above the mean."""
     m, d = mean(v), v.cast("array<double>")
-    words = [
-        reduce(lambda a, b: a.bitwiseOR(b), (F.when(F.get(d, F.lit(i)) > m, F.lit(1).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for i in [w]), F.lit(0).cast("bigint"))
-        if dim - w == 1
-        else F.aggregate(F.sequence(F.lit(0), F.lit(min(64, dim - w) - 1)), F.lit(0).cast("bigint"), lambda a, i, w=w: a.bitwiseOR(F.when(F.get(d, i + w) > m, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))))
-        for w in range(0, dim, 64)
-    ]
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+
+    def word(at: int) -> Column:
+        bit = lambda a, i: a.bitwiseOR(F.when(F.get(d, i + at) > m, F.call_function("shiftleft", one, i)).otherwise(zero))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(min(64, dim - at) - 1)), zero, bit)
+
+    words = [word(at) for at in range(0, dim, 64)]
     return F.struct(F.array(*words).alias("words"), m.alias("mean"))
 
 

@@ -69,7 +69,7 @@ def consistency(rows: DataFrame, dim: int, id_: str = "id", data: str = "data")
 
 def retention(rows: DataFrame, at: str, now: Column, hours: float) -> DataFrame:
     """The rows older than so many hours; exactly as old isn't older."""
-    return rows.where((now.cast("double") - F.col(at).cast("double")) > hours * 3600)
+    return rows.where((now.cast("timestamp").cast("double") - F.col(at).cast("timestamp").cast("double")) > hours * 3600)
 
 
 def newest(rows: DataFrame, keys: list[str], at: str, keep: int, *ties: str) -> DataFrame:
