@@ -141,6 +141,11 @@ def _sigmoid(s):
     return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 class _Data:
     """Features of labelled documents. ``extra`` are earlier links' scores of the lines.
 
@@ -151,7 +156,7 @@ class _Data:
     def __init__(self, doc: np.ndarray, line: np.ndarray, feat: np.ndarray, y: np.ndarray):
         n_docs = self.n_docs = len(y)
         self.doc = doc
-        pair = np.unique(doc[line] * (1 << BITS) + feat) if len(line) else np.empty(0, np.int64)
+        pair = _distinct(doc[line] * (1 << BITS) + feat)
         df = np.bincount(pair % (1 << BITS), minlength=1 << BITS)
         bad = np.bincount(pair % (1 << BITS), y[pair >> BITS], minlength=1 << BITS)
         rate = (bad + y.mean()) / (df + 1)
@@ -200,7 +205,7 @@ class _Data:
             return w, v
         inst = np.bincount(kind_of, minlength=n)
         scale = 1 / np.sqrt(np.maximum(count, 1))
-        pair = np.unique(doc[np.repeat(np.arange(len(rows)), count[kind_of])] * len(w) + feat[_runs(line, kind_of, count)]) if len(w) else np.empty(0, np.int64)
+        pair = _distinct(doc[np.repeat(np.arange(len(rows)), count[kind_of])] * len(w) + feat[_runs(line, kind_of, count)])
         df, bad = np.bincount(pair % max(1, len(w)), minlength=len(w)), np.bincount(pair % max(1, len(w)), y[pair // max(1, len(w))], minlength=len(w))
         prior = y[docs].mean()
         rate = np.clip((bad + 2 * prior) / (df + 2), 1e-3, 1 - 1e-3)
@@ -260,17 +265,24 @@ def true_labels(toxic: np.ndarray, votes: np.ndarray, rounds: int = 50) -> np.nd
     return p if len(votes) else np.empty(0)
 
 
+def _has_seed(name: str, text: str, words: set[str]) -> bool:
+    """Whether a word begins with a seed of the category; in scripts without blanks, whether the text holds it."""
+    starts = tuple(x for x in SEEDS[name].split() if ord(x[0]) < 0x3000)
+    return any(w.startswith(starts) for w in words) or any(x in text for x in SEEDS[name].split() if ord(x[0]) >= 0x3000)
+
+
 def fit_chain(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, folds: int = FOLDS) -> list[tuple[np.ndarray, np.ndarray]]:
     """The chain's links: (weights by feature hash, (bias, weights of the earlier links' probabilities))."""
     if not len(texts) or y.sum() < 1:
         return [(np.zeros(1 << BITS, np.float32), np.r_[-8.0, np.zeros(i)]) for i in range(len(CHAIN))]
     doc, line, feat = features(texts)
     data = _Data(doc, line, feat, y)
-    seed_of = {c: re.compile(r"(?<!\w)(?:%s)|%s" % ("|".join(map(re.escape, s.split())), "|".join(re.escape(x) for x in s.split() if ord(x[0]) > 0x3000) or r"(?!)"), re.I) for c, s in SEEDS.items()}
+    lower = [_INVISIBLE.sub("", repair(t)).lower() for t in texts]
+    words = [set(re.findall(r"\w+", t)) for t in lower]
     fold = np.arange(len(texts)) % folds
     extra, links = np.zeros((len(doc), 0)), []
     for name in CHAIN:
-        target = y if name == "toxic" else y * np.array([bool(seed_of[name].search(_INVISIBLE.sub("", repair(t)))) for t in texts])
+        target = y if name == "toxic" else y * np.array([_has_seed(name, t, ws) for t, ws in zip(lower, words, strict=True)])
         w, v = data.fit(target, np.ones(len(texts), bool), extra, epochs)
         full = np.zeros(1 << BITS, np.float32)
         full[data.used] = w
