@@ -13,6 +13,7 @@ from .vectors import usable_vectors
 
 #: A block holds at least so many rows, and at least FANIN times what is asked for, so each round shrinks the pool FANIN times.
 BLOCK_ROWS, FANIN = 4096, 4
+SALTS = 16
 
 
 def group_value(metadata: Column, key: Column) -> Column:
@@ -69,12 +70,15 @@ def varied_subsets(vectors: DataFrame, requests: DataFrame, dims: int = 64, bloc
     rows = usable_vectors(vectors, dims, "metadata").join(asked, "collection")
     rows = rows.select("request_id", "id", "data", "subset_size", F.coalesce(group_value(F.col("metadata"), F.col("group_key")), F.lit("")).alias("grp"))
     rows = materialize(rows, "asked")
-    pool = rows.join(reserves(rows.select("request_id", "grp", "subset_size")), ["request_id", "grp"])
+    # written, the reserves have a known size: small ones are broadcast, others joined over salts for the sake of a hot value
+    held = materialize(reserves(rows.select("request_id", "grp", "subset_size")), "reserves")
+    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pool = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(held, ["request_id", "grp", "salt"]).drop("salt")
     schema = "request_id int, id binary, data array<float>, subset_size int, grp string, reserve bigint, rank bigint, distance double"
     names = [c.split()[0] for c in schema.split(", ")][:6]
     while True:
         n = pool.groupBy("request_id").agg(F.count("*").alias("n"), F.first("subset_size").alias("s"))
-        n = n.select("request_id", F.ceil(F.col("n") / F.greatest(F.lit(block_rows), F.col("s") * FANIN)).cast("int").alias("blocks"))
+        n = materialize(n.select("request_id", F.ceil(F.col("n") / F.greatest(F.lit(block_rows), F.col("s") * FANIN)).cast("int").alias("blocks")), "counts")
         blocks = n.agg(F.max("blocks")).first()[0] or 1
         cut = pool.select(*names).join(n, "request_id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
         pool = cut.groupBy("request_id", "block").applyInArrow(_choose, schema)
