@@ -79,7 +79,10 @@ def test_bm25_and_fusion(spark):
     p = bm25.postings(docs)
     assert {tuple(r) for r in p.collect()} == {(1, "the", 2.0), (1, "boat", 2.0), (2, "a", 1.0), (2, "lamp", 1.0)}
     assert [r.doc for r in bm25.search(p, {"boat": 1.0, "none": 1.0}).collect()] == [1]
-    assert bm25.search(p, {}).count() == 0
+    assert bm25.search(p, {}).count() == 0 == bm25.search_texts(docs, {}).count()
+    for q in ({"boat": 1.0, "lamp": 2.0, "none": 1.0}, {"none": 1.0}, {"a": 0.5}):
+        one, two = ([(r.doc, round(r.score, 9)) for r in x.collect()] for x in (bm25.search(p, q), bm25.search_texts(docs, q)))
+        assert one == two
     a = spark.createDataFrame([("x", 3.0), ("y", 1.0)], "id string, score double")
     b = spark.createDataFrame([("y", 5.0)], "id string, score double")
     assert {r.id: r.score for r in fusion.relative_score(a, b).collect()} == {"x": 1.0, "y": 0.25}

@@ -4,41 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .vector import mean
+from .vector import let, mean
 
 
 def scalar_quantize(v: Column) -> Column:
     """``codes`` from -128 to 127 between the vector's own ``lo`` and ``hi``, truncated; a constant vector has code -128."""
     d = v.cast("array<double>")
-    lo, hi = F.array_min(d), F.array_max(d)
-    scale = F.when(hi == lo, F.lit(1.0)).otherwise(255.0 / (hi - lo))
-    codes = F.transform(d, lambda x: (F.greatest(F.lit(0), F.least(F.lit(255), ((x - lo) * scale).cast("int"))) - 128).cast("tinyint"))
-    return F.struct(codes.alias("codes"), lo.alias("lo"), hi.alias("hi"))
+    bounds = F.struct(F.array_min(d).alias("lo"), F.array_max(d).alias("hi"))
+
+    def quantized(r: Column) -> Column:
+        scale = F.when(r["hi"] == r["lo"], F.lit(1.0)).otherwise(255.0 / (r["hi"] - r["lo"]))
+        codes = let(scale, lambda k: F.transform(d, lambda x: (F.greatest(F.lit(0), F.least(F.lit(255), ((x - r["lo"]) * k).cast("int"))) - 128).cast("tinyint")))
+        return F.struct(codes.alias("codes"), r["lo"].alias("lo"), r["hi"].alias("hi"))
+
+    return let(bounds, quantized)
 
 
 def scalar_dequantize(q: Column) -> Column:
-    return F.transform(q["codes"], lambda c: q["lo"] + (c.cast("double") + 128) * (q["hi"] - q["lo"]) / 255.0)
+    return let(q, lambda r: F.transform(r["codes"], lambda c: r["lo"] + (c.cast("double") + 128) * (r["hi"] - r["lo"]) / 255.0))
 
 
 def binary_quantize(v: Column, dim: int) -> Column:
     """``words`` of 64 bits, the lowest first: whether an element is above the mean."""
-    m, d = mean(v), v.cast("array<double>")
+    d = v.cast("array<double>")
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
 
-    def word(at: int) -> Column:
+    def word(at: int, m: Column) -> Column:
         bit = lambda a, i: a.bitwiseOR(F.when(F.get(d, i + at) > m, F.call_function("shiftleft", one, i)).otherwise(zero))
         return F.aggregate(F.sequence(F.lit(0), F.lit(min(64, dim - at) - 1)), zero, bit)
 
-    words = [word(at) for at in range(0, dim, 64)]
-    return F.struct(F.array(*words).alias("words"), m.alias("mean"))
+    return let(mean(v), lambda m: F.struct(F.array(*(word(at, m) for at in range(0, dim, 64))).alias("words"), m.alias("mean")))
 
 
 def binary_dequantize(q: Column, dim: int) -> Column:
     """The mean plus 1 where the bit is set, minus 1 elsewhere."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: q["mean"] + F.when(F.call_function("shiftrightunsigned", F.get(q["words"], F.floor(i / 64).cast("int")), (i % 64).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1, 1.0).otherwise(-1.0),
-    )
+    one = F.lit(1).cast("bigint")
+    bit = lambda r, i: F.call_function("shiftrightunsigned", F.get(r["words"], F.floor(i / 64).cast("int")), (i % 64).cast("int")).bitwiseAND(one)
+    return let(q, lambda r: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: r["mean"] + F.when(bit(r, i) == 1, 1.0).otherwise(-1.0)))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .vector import let
+
 _TYPE = "struct<indices:array<int>,values:array<double>>"
 
 
@@ -29,8 +31,8 @@ def nnz(s: Column) -> Column:
 
 def dot(a: Column, b: Column) -> Column:
     """The sum of the products at common indices, in any order of the indices."""
-    theirs = F.map_from_arrays(b["indices"], b["values"])
-    return F.aggregate(F.arrays_zip(a["indices"], a["values"]), F.lit(0.0), lambda t, p: t + p["values"] * F.coalesce(F.try_element_at(theirs, p["indices"]), F.lit(0.0)))
+    find = lambda theirs: F.aggregate(F.arrays_zip(a["indices"], a["values"]), F.lit(0.0), lambda t, p: t + p["values"] * F.coalesce(F.try_element_at(theirs, p["indices"]), F.lit(0.0)))
+    return let(F.map_from_arrays(b["indices"], b["values"]), find)
 
 
 def norm(s: Column) -> Column:
@@ -38,8 +40,8 @@ def norm(s: Column) -> Column:
 
 
 def normalize(s: Column) -> Column:
-    n = norm(s)
-    return F.struct(s["indices"].alias("indices"), F.when(n == 0, s["values"]).otherwise(F.transform(s["values"], lambda x: x / n)).alias("values"))
+    unit = let(norm(s), lambda n: F.when(n == 0, s["values"]).otherwise(F.transform(s["values"], lambda x: x / n)))
+    return F.struct(s["indices"].alias("indices"), unit.alias("values"))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -27,6 +27,11 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once: inside a lambda Spark would compute it again for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
@@ -48,8 +53,7 @@ def magnitude(v: Column) -> Column:
 
 def cosine_similarity(a: Column, b: Column) -> Column:
     """0 if either vector is all zero."""
-    norms = magnitude(a) * magnitude(b)
-    return F.when(norms == 0, F.lit(0.0)).otherwise(dot_product(a, b) / norms)
+    return let(magnitude(a) * magnitude(b), lambda norms: F.when(norms == 0, F.lit(0.0)).otherwise(dot_product(a, b) / norms))
 
 
 def euclidean_distance(a: Column, b: Column) -> Column:
@@ -60,8 +64,13 @@ def manhattan_distance(a: Column, b: Column) -> Column:
     return _pairs(a, b, lambda x, y: F.abs(x - y))
 
 
-def distance(a: Column, b: Column, by: str = "cosine") -> Column:
-    """Smaller is nearer in each metric: 1 - cosine, and the negative dot product."""
+def distance(a: Column, b: Column | Sequence[float], by: str = "cosine") -> Column:
+    """Smaller is nearer in each metric: 1 - cosine, and the negative dot product. The norm of a literal vector is computed here and not for each row."""
+    if not isinstance(b, Column):
+        b, values = vector(b), [float(x) for x in b]
+        if metric(by) == "cosine":
+            norm = F.lit(sum(x * x for x in values) ** 0.5)
+            return 1 - let(magnitude(a) * norm, lambda n: F.when(n == 0, F.lit(0.0)).otherwise(dot_product(a, b) / n))
     return {
         "cosine": lambda: 1 - cosine_similarity(a, b),
         "euclidean": lambda: euclidean_distance(a, b),
@@ -72,8 +81,7 @@ def distance(a: Column, b: Column, by: str = "cosine") -> Column:
 
 def normalize(v: Column) -> Column:
     """The unit vector; a zero vector stays."""
-    norm = magnitude(v)
-    return F.when(norm == 0, doubles(v)).otherwise(F.transform(doubles(v), lambda x: x / norm))
+    return let(magnitude(v), lambda norm: F.when(norm == 0, doubles(v)).otherwise(F.transform(doubles(v), lambda x: x / norm)))
 
 
 def mean(v: Column) -> Column:
@@ -82,8 +90,7 @@ def mean(v: Column) -> Column:
 
 def stddev(v: Column) -> Column:
     """Of the whole vector as a population."""
-    m = mean(v)
-    return F.sqrt(F.try_divide(F.aggregate(doubles(v), F.lit(0.0), lambda a, x: a + (x - m) * (x - m)), F.size(v)))
+    return let(mean(v), lambda m: F.sqrt(F.try_divide(F.aggregate(doubles(v), F.lit(0.0), lambda a, x: a + (x - m) * (x - m)), F.size(v))))
 
 
 def average_vectors(vectors: Sequence[Sequence[float]]) -> list[float] | None:

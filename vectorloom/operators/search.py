@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..errors import InvalidDimension, InvalidInput, NotFound
-from ..functions.vector import discovery_vector, distance, metric, recommend_vector, vector
+from ..functions.vector import discovery_vector, distance, metric, recommend_vector
 from ..plans.filters import compile_filter
 
 #: Rows of queries in one block of a batch search; more queries run as several passes over blocks, each of this bounded size.
@@ -39,7 +39,7 @@ def knn(df: DataFrame, query: Sequence[float], k: int = 10, by: str = "cosine",
     if k < 0 or offset < 0:
         raise InvalidInput("limit and offset must not be negative")
     rows = _kept(df, c, where).where(F.col(c.data).isNotNull())
-    out = rows.select(F.col(c.id).alias("id"), distance(F.col(c.data), vector(query), by).alias("distance"), *([F.col(c.metadata).alias("metadata")] if c.metadata else []))
+    out = rows.select(F.col(c.id).alias("id"), distance(F.col(c.data), query, by).alias("distance"), *([F.col(c.metadata).alias("metadata")] if c.metadata else []))
     ordered = out.orderBy("distance", "id")
     return (ordered.offset(offset) if offset else ordered).limit(k)
 
@@ -134,7 +134,7 @@ def recommend(df: DataFrame, positive: Sequence, negative: Sequence = (), k: int
         raise NotFound("none of the positive examples exists")
     if strategy == "best_score":
         rows = _kept(df, c, where).where(F.col(c.data).isNotNull())
-        best = F.least(*(distance(F.col(c.data), vector(p), by) for p in pos), *([distance(F.col(c.data), vector(pos[0]), by)] if len(pos) == 1 else []))
+        best = F.least(*(distance(F.col(c.data), p, by) for p in pos), *([distance(F.col(c.data), pos[0], by)] if len(pos) == 1 else []))
         ordered = rows.select(F.col(c.id).alias("id"), best.alias("distance")).orderBy("distance", "id")
         return (ordered.offset(offset) if offset else ordered).limit(k)
     q = recommend_vector(pos, neg)
@@ -179,7 +179,7 @@ def count(df: DataFrame, where: dict | Column | None = None, exact: bool = True,
 def search_groups(df: DataFrame, query: Sequence[float], group: Column, group_size: int = 3, limit: int = 10, by: str = "cosine", where: dict | Column | None = None, c: Columns = Columns()) -> DataFrame:
     """``group_rank, grp, rank, id, distance``: the nearest rows of each of the groups that have the nearest rows. Rows without a group are left out."""
     rows = _kept(df, c, where).where(F.col(c.data).isNotNull() & group.isNotNull())
-    near = rows.select(group.alias("grp"), F.col(c.id).alias("id"), distance(F.col(c.data), vector(query), by).alias("distance"))
+    near = rows.select(group.alias("grp"), F.col(c.id).alias("id"), distance(F.col(c.data), query, by).alias("distance"))
     w = W.partitionBy("grp").orderBy("distance", "id")
     near = near.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= group_size)
     best = near.where(F.col("rank") == 1).orderBy("distance", "id").limit(limit).select("grp", F.row_number().over(W.orderBy("distance", "id")).cast("bigint").alias("group_rank"))

@@ -85,7 +85,7 @@ def bm25_stats(spark, sf):
 
 @add("bm25_search", f"{_SCORE_SQL} SELECT doc, {r_sql('score')} AS score FROM sc ORDER BY sc.score DESC, doc LIMIT 10")
 def bm25_search(spark, sf):
-    return bm25.search(bm25.postings(table(spark, sf, "documents")), _QUERY, 10).select("doc", rounded(F.col("score")).alias("score"))
+    return bm25.search_texts(table(spark, sf, "documents"), _QUERY, 10).select("doc", rounded(F.col("score")).alias("score"))
 
 
 # two ranked lists: the 50 nearest by cosine as similarities, and the 40 of the largest dot product with another vector
@@ -120,7 +120,7 @@ def fusion_rrf(spark, sf):
 def hybrid_search(spark, sf):
     """Vectors and documents share their ids here."""
     dense = s.knn(embeddings(spark, sf), first_vector(spark, sf), 100, c=E)
-    lexical = bm25.search(bm25.postings(table(spark, sf, "documents")), _QUERY, 100).withColumnRenamed("doc", "id")
+    lexical = bm25.search_texts(table(spark, sf, "documents"), _QUERY, 100).withColumnRenamed("doc", "id")
     return fusion.hybrid(dense, lexical, 10).select("id", rounded(F.col("score")).alias("score"))
 
 
@@ -175,7 +175,7 @@ def quant_int8_distance(spark, sf):
 @add("quant_distance", f"WITH {_SQ}, r AS (SELECT vec_id, list(lo + (code + 128) * (hi - lo) / 255.0 ORDER BY i) AS d FROM k GROUP BY 1) SELECT vec_id, {r_sql(d_sql('euclidean', 'r.d', 'q'))} AS distance FROM r, q")
 def quant_distance(spark, sf):
     """A quantized and a plain vector: the quantized one is decoded with its true dimension."""
-    return _scalar(spark, sf).select("vec_id", rounded(distance(z.scalar_dequantize(F.col("z")), vector(first_vector(spark, sf)), "euclidean")).alias("distance"))
+    return _scalar(spark, sf).select("vec_id", rounded(distance(z.scalar_dequantize(F.col("z")), first_vector(spark, sf), "euclidean")).alias("distance"))
 
 
 @add("quant_memory", "SELECT vec_id, 4 * len(embedding)::BIGINT AS float32, (len(embedding) + 8)::BIGINT AS scalar, 12::BIGINT AS product, (ceil(len(embedding) / 8) + 4)::BIGINT AS \"binary\" FROM embeddings")
@@ -187,7 +187,7 @@ def quant_memory(spark, sf):
 @add("prefetch_rescore", f"WITH {_SQ}, r AS (SELECT vec_id, list(lo + (code + 128) * (hi - lo) / 255.0 ORDER BY i) AS d FROM k GROUP BY 1), f AS (SELECT vec_id FROM (SELECT vec_id, {d_sql('cosine', 'r.d', 'q')} AS dist FROM r, q) ORDER BY round(dist, 9), vec_id LIMIT 100) SELECT vec_id AS id, {r_sql('dist')} AS distance FROM (SELECT e.vec_id, {d_sql('cosine', 'e.d', 'q')} AS dist FROM e JOIN f USING (vec_id), q) ORDER BY dist, vec_id LIMIT 10")
 def prefetch_rescore(spark, sf):
     q = first_vector(spark, sf)
-    approximate = F.round(distance(z.scalar_dequantize(z.scalar_quantize(F.col("embedding"))), vector(q)), 9)
+    approximate = F.round(distance(z.scalar_dequantize(z.scalar_quantize(F.col("embedding"))), q), 9)
     return s.prefetch_rescore(embeddings(spark, sf), q, [approximate], 100, 10, c=E).select("id", rounded(F.col("distance")).alias("distance"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from ..functions import vector as v
 from ..operators import search as s
 from ..session import table
-from .common import E, E_SQL, P, d_sql, embeddings, first_vector, payload, r_sql, rounded, with_payload
+from .common import E, E_SQL, P, d_sql, embeddings, first_vector, r_sql, rounded, with_payload
 
 QUERIES, SQL = {}, {}
 _METRIC = {"cosine": "cosine", "euclidean": "euclidean", "dot": "dot_product", "manhattan": "manhattan"}
@@ -32,7 +32,7 @@ for _short, _by in _METRIC.items():
 
     @add(f"dist_{_short}", f"WITH {E_SQL} SELECT vec_id, {r_sql(d_sql(_by))} AS distance FROM e, q")
     def _dist(spark, sf, by=_by):
-        return embeddings(spark, sf).select("vec_id", rounded(v.distance(F.col("embedding"), v.vector(first_vector(spark, sf)), by)).alias("distance"))
+        return embeddings(spark, sf).select("vec_id", rounded(v.distance(F.col("embedding"), first_vector(spark, sf), by)).alias("distance"))
 
     @add(f"knn_{_short}", f"WITH {E_SQL} SELECT vec_id AS id, {r_sql('dist')} AS distance FROM (SELECT vec_id, {d_sql(_by)} AS dist FROM e, q) ORDER BY dist, vec_id LIMIT 10")
     def _knn(spark, sf, by=_by):
@@ -41,7 +41,7 @@ for _short, _by in _METRIC.items():
 
 @add("batch_distances", f"WITH {E_SQL} SELECT vec_id, {r_sql(d_sql('cosine'))} AS cosine, {r_sql(d_sql('euclidean'))} AS euclidean, {r_sql(d_sql('dot_product'))} AS dot_product, {r_sql(d_sql('manhattan'))} AS manhattan FROM e, q")
 def batch_distances(spark, sf):
-    q = v.vector(first_vector(spark, sf))
+    q = first_vector(spark, sf)
     return embeddings(spark, sf).select("vec_id", *(rounded(v.distance(F.col("embedding"), q, m)).alias(m) for m in v.METRICS))
 
 
