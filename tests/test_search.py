@@ -3,8 +3,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from vectorloom.errors import InvalidDimension, InvalidInput, NotFound
-from vectorloom.operators import bm25, fusion, search as s
+from vectorloom.operators import bm25, fusion, quantizers, search as s
 from vectorloom.operators.quantizers import IvfIndex, ProductQuantizer, k_means
+from vectorloom.queries import lexical
+from vectorloom.queries.common import E, embeddings
 
 ROWS = [("a", [1.0, 0.0, 0.0], '{"c": "x"}'), ("b", [0.9, 0.1, 0.0], '{"c": "y"}'), ("d", [0.0, 1.0, 0.0], None), ("c", [0.0, 1.0, 0.0], '{"c": "x"}'), ("n", None, None)]
 
@@ -104,3 +106,32 @@ def test_indexes(spark):
     want = {r.id for r in s.knn(df, list(x[0]), 10, c=c).collect()}
     assert len({r.id for r in index.search(list(x[0]), 10, 6).collect()} & want) >= 9
     assert k_means(np.array([[1.0], [1.0]]), 3).tolist() == [[1.0]] * 3
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_index_query_has_the_recall_asked_for(spark, sf):
+    e = embeddings(spark, f"/root/testdata/{sf}")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
+    got = lexical.QUERIES["knn_ann_ivf"](spark, f"/root/testdata/{sf}").collect()
+    want = {(r.qid, r.id) for r in s.batch_knn(e, q, 10, c=E).collect()}
+    recall = len({(r.qid, r.id) for r in got} & want) / len(want)
+    print(sf, "recall", recall)
+    assert len(got) == len(want) == 10 * q.count() and recall >= 0.9
+    assert all(sorted(r.rank for r in got if r.qid == i) == list(range(1, 11)) for i in {r.qid for r in got})
+
+
+def test_index_batches(spark, monkeypatch):
+    x = np.random.default_rng(3).standard_normal((600, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(999, None)], "id int, data array<double>")
+    c = s.Columns(metadata=None)
+    index, q = IvfIndex.build(df, 12, c), df.select(F.col("id").alias("qid"), F.col("data").alias("query"))
+    rows = lambda d: {(r.qid, r.rank, r.id) for r in d.collect()}
+    few = q.where("qid < 20 OR qid = 999")
+    assert rows(index.search_batch(few, 5, 12)) == rows(s.batch_knn(df, few.where("qid < 20"), 5, c=c))
+    assert [r.id for r in index.search_batch(few.where("qid = 7"), 5, 3).orderBy("rank").collect()] == ids(index.search(list(x[7]), 5, 3))
+    monkeypatch.setattr(quantizers, "TRIED", 100)  # chosen by some queries, it holds for all
+    probe = index.probes(q, 5, 0.9)
+    want = rows(s.batch_knn(df, q.where("query IS NOT NULL"), 5, c=c).drop("rank").withColumn("rank", F.lit(0)))
+    got = rows(index.search_batch(q, 5, probe).drop("rank").withColumn("rank", F.lit(0)))
+    assert probe < 12 and len(got & want) >= 0.9 * len(want)
+    assert index.probes(few.limit(0)) == 12 and index.search_batch(few.limit(0)).count() == 0

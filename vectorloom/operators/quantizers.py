@@ -6,13 +6,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from ..errors import ConfigurationError
-from .search import Columns, block_distances, knn
+from ..errors import ConfigurationError, InvalidDimension, InvalidInput
+from ..functions.vector import metric
+from .search import Columns, block_distances, knn, query_blocks
 
 #: Rows from which codebooks and cells are learned, those of the smallest hash of their id.
 TRAIN_ROWS = 10_000
+#: Queries by which the number of probed cells is chosen, those of the smallest hash of their id.
+TRIED = 256
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 10, eps: float = 1e-6) -> np.ndarray:
@@ -115,3 +118,61 @@ class IvfIndex:
     def search(self, query: Sequence[float], k: int = 10, probe: int = 8, by: str = "cosine", where=None) -> DataFrame:
         near = block_distances(np.asarray([query], np.float64), self.centres, "euclidean")[0].argsort(kind="stable")[:probe]
         return knn(self.rows.where(F.col("cell").isin([int(i) for i in near])), query, k, by, where, 0, self.c)
+
+    def search_batch(self, queries: DataFrame, k: int = 10, probe: int = 8, by: str = "cosine", query_id: str = "qid", query_vector: str = "query") -> DataFrame:
+        """``qid, id, distance, rank`` of the k nearest rows of each query within the ``probe`` cells nearest to it; queries without a vector have none."""
+        return self._near(queries, k, probe, by, query_id, query_vector).drop("cell")
+
+    def probes(self, queries: DataFrame, k: int = 10, recall: float = 0.9, by: str = "cosine", query_id: str = "qid", query_vector: str = "query") -> int:
+        """The fewest cells that find the share ``recall`` of the k nearest rows, measured by an exact search for TRIED of the queries.
+
+        Of more queries than these, two standard errors of the mean are taken off what was measured.
+        """
+        if not 0 < recall <= 1:
+            raise InvalidInput("a recall is above 0 and at most 1")
+        some = queries.where(F.col(query_vector).isNotNull())
+        n = some.count()
+        some = some.orderBy(F.xxhash64(query_id), query_id).limit(TRIED)
+        tried = some.select(F.col(query_id).alias("qid"), F.col(query_vector).cast("array<double>").alias("query")).toPandas()
+        true = self._near(queries.sparkSession.createDataFrame(tried.assign(qid=range(len(tried)))), k, len(self.centres), by).select("qid", "cell").toPandas() if len(tried) else tried
+        if not len(true):
+            return len(self.centres)
+        order = block_distances(np.stack(tried["query"].to_numpy()), self.centres, "euclidean").argsort(axis=1, kind="stable")
+        place = order.argsort(axis=1)[true["qid"], true["cell"]]
+        of = true.groupby("qid").size()
+        for probe in range(1, len(self.centres)):
+            found = np.bincount(true["qid"], place < probe, minlength=len(tried))[of.index] / of.to_numpy()
+            error = found.std(ddof=1) / np.sqrt(len(found)) * np.sqrt(1 - len(tried) / n) if n > len(tried) else 0
+            if found.mean() - 2 * error >= recall - 1e-9:
+                return probe
+        return len(self.centres)
+
+    def _near(self, queries: DataFrame, k: int, probe: int, by: str, query_id: str = "qid", query_vector: str = "query") -> DataFrame:
+        """As ``batch_knn``, with the products of a row only for the queries that probe its cell."""
+        spark, name, c, centres = queries.sparkSession, metric(by), self.c, self.centres
+        rows = self.rows.select(F.col(c.id).alias("id"), F.col(c.data).alias("data"), "cell")
+        kind = T.StructType([T.StructField("qid", queries.schema[query_id].dataType), T.StructField("id", rows.schema["id"].dataType), T.StructField("cell", T.IntegerType()), T.StructField("distance", T.DoubleType())])
+        found = spark.createDataFrame([], kind)
+        for ids, q in query_blocks(queries.where(F.col(query_vector).isNotNull()), query_id, query_vector):
+            if q.shape[1] != centres.shape[1]:
+                raise InvalidDimension(centres.shape[1], q.shape[1])
+            probed = np.zeros((len(q), len(centres)), bool)
+            np.put_along_axis(probed, block_distances(q, centres, "euclidean").argsort(axis=1, kind="stable")[:, :probe], True, axis=1)
+            shared = spark.sparkContext.broadcast((ids, q, probed))
+
+            def near(batches, shared=shared):
+                ids, q, probed = shared.value
+                for pdf in batches:
+                    parts = []
+                    for cell, rows in pdf.sort_values("id", kind="stable").groupby("cell"):  # sorted, so that ties go to the smaller id
+                        ask = np.flatnonzero(probed[:, cell])
+                        d = block_distances(q[ask], np.stack(rows["data"].to_numpy()).astype(np.float64), name)
+                        top = np.argsort(d, axis=1, kind="stable")[:, :k]
+                        parts.append(pd.DataFrame({"at": np.repeat(ask, top.shape[1]), "id": rows["id"].to_numpy()[top].ravel(), "cell": cell, "distance": np.take_along_axis(d, top, 1).ravel()}))
+                    if parts:
+                        best = pd.concat(parts).sort_values(["at", "distance", "id"]).groupby("at").head(k)
+                        yield best.assign(qid=ids[best["at"].to_numpy()])[["qid", "id", "cell", "distance"]]
+
+            found = found.unionByName(rows.mapInPandas(near, kind))
+        w = W.partitionBy("qid").orderBy("distance", "id")
+        return found.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)

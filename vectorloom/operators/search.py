@@ -6,7 +6,7 @@ the search, so a search gives k rows whenever that many match.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,6 +51,16 @@ def knn_postfilter(df: DataFrame, query: Sequence[float], k: int, where: dict |
     return near.where(cond).orderBy("distance", "id").limit(k)
 
 
+def query_blocks(queries: DataFrame, query_id: str, query_vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The ids and vectors of the queries, about QUERY_BLOCK at a time."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    numbered = queries.select(F.col(query_id).alias("qid"), F.col(query_vector).cast("array<double>").alias("q"), F.pmod(F.xxhash64(query_id), F.lit(blocks)).alias("block"))
+    for b in range(blocks):
+        block = numbered.where(F.col("block") == b).toPandas()
+        if len(block):
+            yield block["qid"].to_numpy(), np.stack(block["q"].to_numpy())
+
+
 def batch_knn(df: DataFrame, queries: DataFrame, k: int = 10, by: str = "cosine", c: Columns = Columns(), query_id: str = "qid", query_vector: str = "query") -> DataFrame:
     """``qid, id, distance, rank`` of the k nearest rows of each query.
 
@@ -59,17 +69,10 @@ def batch_knn(df: DataFrame, queries: DataFrame, k: int = 10, by: str = "cosine"
     """
     spark = df.sparkSession
     name = metric(by)
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    numbered = queries.select(F.col(query_id).alias("qid"), F.col(query_vector).cast("array<double>").alias("q"), F.pmod(F.xxhash64(query_id), F.lit(blocks)).alias("block"))
     rows = df.select(F.col(c.id).alias("id"), F.col(c.data).alias("data")).where(F.col(c.data).isNotNull())
-    kind = T.StructType([T.StructField("qid", numbered.schema["qid"].dataType), T.StructField("id", rows.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
+    kind = T.StructType([T.StructField("qid", queries.schema[query_id].dataType), T.StructField("id", rows.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
     parts = []
-    for b in range(blocks):
-        block = numbered.where(F.col("block") == b).toPandas()
-        if not len(block):
-            continue
-        ids, q = block["qid"].to_numpy(), np.stack(block["q"].to_numpy())
+    for ids, q in query_blocks(queries, query_id, query_vector):
         shared = spark.sparkContext.broadcast((ids, q))
 
         def near(batches, shared=shared):

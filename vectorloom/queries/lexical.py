@@ -211,6 +211,15 @@ def pq_decode(spark, sf):
     return pq.decode(pq.encode(embeddings(spark, sf), E)).select("id", F.posexplode("data").alias("pos", "x")).withColumn("x", rounded(F.col("x")))
 
 
+#: Aimed at, so that the 0.9 that is asked for holds whichever way ties are counted.
+RECALL = 0.92
+
+
 @add("knn_ann_ivf")
 def knn_ann_ivf(spark, sf):
-    return IvfIndex.build(embeddings(spark, sf), 16, E).search(first_vector(spark, sf), 10, 8).select("id", rounded(F.col("distance")).alias("distance"))
+    """The ten nearest of every vector with an id divisible by 100, in as many of 16 cells as a recall of RECALL takes."""
+    e = embeddings(spark, sf)
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
+    index = IvfIndex.build(e, 16, E)
+    near = index.search_batch(queries, 10, index.probes(queries, 10, RECALL))
+    return near.select("qid", "id", rounded(F.col("distance")).alias("distance"), "rank")
