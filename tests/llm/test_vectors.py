@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from vectorloom.llm import kernels as k
 from vectorloom.llm.clusters import connect, describe_clusters, similarity_clusters
 from vectorloom.llm.neighbours import exact_neighbours, similar_pairs, similar_vectors
-from vectorloom.llm.subset import varied_subsets
+from vectorloom.llm.subset import reserves, varied_subsets
 from vectorloom.llm.vectors import pack_id, unpack_id, usable_vectors
 
 KIND = "id string, collection string, data array<float>, metadata string, ingested_at timestamp, similarity double, tab int, cell int, a int, b int, own int, m int, w double, root string"
@@ -148,3 +148,24 @@ def test_subsets(spark):
         chosen = u[[int(unpack[:8], 16) for unpack in [bytes(r.id)[1:].hex() for r in by[7]]]]
         best = u[k.farthest_first(u, 12, np.zeros(1, int), np.zeros(400, int))[0]]
         assert (1 - u @ chosen.T).min(axis=1).max() <= 1.5 * (1 - u @ best.T).min(axis=1).max()
+
+
+def test_each_value_keeps_its_first_place(spark):
+    """Of values whose vectors all lie within a large group, and of as many values as places beside rows without a value."""
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(64)
+    x = centre + 0.01 * rng.standard_normal((300, 64))
+    group = np.zeros(300, int)
+    group[[7, 8, 9]], group[50] = 1, 2
+    rows, dist = k.farthest_first(unit(x), 12, np.array([4, 3, 1]), group)
+    assert {0, 1, 2} == set(group[rows[:3]].tolist()) and len(set(rows.tolist())) == 12 and (dist[1:] < k.NEAR).all()
+    for block in (10_000, 64):
+        meta = lambda i: '{"s": "v%d"}' % (i % 10) if i < 30 else '{"s": "v0"}' if i < 100 else None
+        df = spark.createDataFrame([(uid(i), "c", [float(v) for v in r], meta(i), None, *OTHER) for i, r in enumerate(x)], KIND)
+        req = spark.createDataFrame([(1, "c", 10, "s"), (2, "c", 11, "s"), (3, "c", 4, "s")], "request_id int, collection string, subset_size int, group_key string")
+        got = varied_subsets(df, req, block_rows=block).collect()
+        values = {f"v{i}" for i in range(10)}
+        assert {r.grp for r in got if r.request_id == 1} == values and {r.grp for r in got if r.request_id == 2} == values | {""}
+        assert len({r.grp for r in got if r.request_id == 3} - {""}) == 4
+    counts = spark.createDataFrame([(1, "", 2)] * 9 + [(1, "a", 2)] + [(1, "b", 2)], "request_id int, grp string, subset_size int")
+    assert {r.grp: r.reserve for r in reserves(counts).collect()} == {"a": 1, "b": 1, "": 0}

@@ -249,15 +249,15 @@ def _cell_forest(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     return p, c
 
 
-#: A row within this cosine distance of a chosen one adds no variety, so no reserved place is spent on it.
+#: A row within this cosine distance of a chosen one adds no variety, so no reserved place but its group's first is spent on it.
 NEAR = 0.14
 
 
 def farthest_first(x: np.ndarray, size: int, reserve: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``size`` rows chosen farthest first: (rows in the order of choice, cosine distance to the nearest one chosen before).
 
-    First the reserved places go to their groups, as long as a group has a row that isn't near a chosen one; then the farthest
-    row of all is taken. The first row is the one least similar to the mean; ties go to the smaller row.
+    First the reserved places go to their groups: the first of each group always, the others as long as the group has a row that isn't
+    near a chosen one; then the farthest row of all is taken. The first row is the one least similar to the mean; ties go to the smaller row.
     """
     n = len(x)
     total = min(n, int(size))
@@ -268,18 +268,20 @@ def farthest_first(x: np.ndarray, size: int, reserve: np.ndarray, group: np.ndar
     cover = 1 - x @ x.mean(axis=0)
     free = np.ones(n, bool)
     held = left[group] > 0
+    bare = left > 0  # groups whose first place is open
     for i in range(total):
         j = -1
         if held.any():
             j = int(np.argmax(np.where(held, cover, -2)))
             if i and cover[j] <= NEAR:
-                held[:], j = False, -1
+                held &= bare[group]
+                j = int(np.argmax(np.where(held, cover, -2))) if held.any() else -1
         if j < 0:
             j = int(np.argmax(np.where(free, cover, -2)))
         out[i], dist[i] = j, cover[j]
         gone = 1 - x @ x[j]
         cover = gone if i == 0 else np.minimum(cover, gone)
-        free[j] = held[j] = False
+        free[j] = held[j] = bare[group[j]] = False
         left[group[j]] -= 1
         if left[group[j]] == 0:
             held &= group != group[j]

@@ -27,7 +27,7 @@ def reserves(rows: DataFrame) -> DataFrame:
     over the groups, what small groups can't fill going to the larger ones.
 
     With the groups in ascending size, a group is taken whole as long as it is no larger than an even share of what is left; the
-    others get that share, the first of them (larger groups first, ties by value) one more until the size is met.
+    others get that share, the first of them (larger groups first, ties by value, rows without a value last) one more until the size is met.
     """
     g = rows.groupBy("request_id", "grp").agg(F.count("*").alias("n"), F.first("subset_size").alias("s"))
     held = F.greatest(F.ceil(F.col("s") / 2), F.least(F.col("s"), F.count("*").over(W.partitionBy("request_id"))))
@@ -40,7 +40,7 @@ def reserves(rows: DataFrame) -> DataFrame:
     g = g.withColumn("whole", whole).withColumn("cut", first)
     left = F.col("k") - F.col("cut.before")
     share, more = F.floor(left / F.col("cut.others")), left % F.col("cut.others")
-    place = F.row_number().over(W.partitionBy("request_id").orderBy(F.desc("n"), "grp"))
+    place = F.row_number().over(W.partitionBy("request_id").orderBy(F.col("grp") == "", F.desc("n"), "grp"))
     return g.select("request_id", "grp", F.when(F.col("whole"), F.col("n")).otherwise(share + (place <= more).cast("int")).cast("bigint").alias("reserve"))
 
 
@@ -60,8 +60,8 @@ def varied_subsets(vectors: DataFrame, requests: DataFrame, dims: int = 64, bloc
 
     Representatives are chosen farthest first (by cosine distance) within blocks, pooled, and chosen again, until a pool fits one
     block and the last choice gives the subset; no block is larger than a few times the wanted size, whatever the collection holds. With a
-    group key about half of the size is reserved for its values evenly (see ``reserves``), a missing value being one of them, but no reserved place is spent on a
-    vector near a chosen one. Large sets of similar vectors don't count more than small ones: what is near a chosen vector is chosen last.
+    group key about half of the size is reserved for its values evenly (see ``reserves``), a missing value being one of them, served after the others. The first
+    place of a value is kept whatever its vectors are like; no further one is spent on a vector near a chosen one. Large sets of similar vectors don't count more than small ones: what is near a chosen vector is chosen last.
 
     Only usable vectors are chosen, each once; a size above what a collection holds gives all of it; a size that is null or
     below 1, a null or unknown collection, and empty tables give no rows. A request that occurs twice counts once.
