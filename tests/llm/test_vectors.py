@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -169,3 +171,23 @@ def test_each_value_keeps_its_first_place(spark):
         assert len({r.grp for r in got if r.request_id == 3} - {""}) == 4
     counts = spark.createDataFrame([(1, "", 2)] * 9 + [(1, "a", 2)] + [(1, "b", 2)], "request_id int, grp string, subset_size int")
     assert {r.grp: r.reserve for r in reserves(counts).collect()} == {"a": 1, "b": 1, "": 0}
+
+
+@pytest.mark.parametrize("share", [0.3, 0.02])
+def test_a_hot_set_is_never_listed_as_pairs(share, monkeypatch):
+    """Copies amid single rows: most hubs, or all that are tried, are single rows; the links stay a forest and the memory small."""
+    rng = np.random.default_rng(9)
+    n = 6000
+    x = rng.standard_normal((n, 64))
+    hot = rng.permutation(n)[: int(share * n)]
+    x[hot] = x[hot[0]] + 0.01 * rng.standard_normal((len(hot), 64))
+    x = unit(x).astype(np.float32)
+    for strays in (32, 0):
+        monkeypatch.setattr(k, "STRAYS", strays, raising=False)
+        tracemalloc.start()
+        p, c = k._cell_forest(x, 0.86)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        a, b = np.nonzero(np.triu(x @ x.T >= 0.86, 1))
+        want = k._components(n, a, b)
+        assert np.array_equal(k._components(n, p, c), want) and len(p) == (want != np.arange(n)).sum() and peak < 80e6

@@ -18,6 +18,8 @@ PROJECTIONS, COLLISIONS = 16, 13
 WIDTH, REACH = 0.05, 1.9
 #: Rows of a block of queries.
 BLOCK = 1024
+#: Pairs that are listed at once while links are sought, and hubs with few hits after which no further one is tried in a cell.
+PAIRS, STRAYS = 1 << 20, 32
 
 
 def share(similarity: float) -> float:
@@ -203,17 +205,17 @@ def _cell_forest(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     n = len(x)
     todo = np.arange(n)
     ps, cs = [], []
-    # a first sweep takes whole large sets with one row of products each
-    for _ in range(4):
-        if len(todo) < 512:
-            break
-        hub = todo[len(todo) // 2]
+    # a first sweep takes whole large sets with one row of products each; a hub that has few hits costs one row and another is tried
+    rng, strays = np.random.default_rng(SEED + 2), 0
+    while len(todo) >= 512 and strays < STRAYS:
+        hub = todo[rng.integers(len(todo))]
         hit = todo[x[todo] @ x[hub] >= least]
         if len(hit) < 64:
-            break
+            strays += 1
+            continue
         # whatever else the set links to in this cell
         rest = np.setdiff1d(todo, hit, assume_unique=True)
-        front, members = hit, [hit]
+        front = hit
         ps.append(np.full(len(hit) - 1, hub))
         cs.append(hit[hit != hub])
         while len(front) and len(rest):
@@ -227,26 +229,38 @@ def _cell_forest(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
             ps.append(found[new])
             cs.append(rest[new])
             front, rest = rest[new], rest[~new]
-            members.append(front)
         todo = rest
+    root = np.arange(n)
     for at in range(0, len(todo), BLOCK):
-        part = todo[at : at + BLOCK]
-        a, b = np.nonzero(x[part] @ x[todo[at:]].T >= least)
-        a, b = part[a], todo[at + b]
-        keep = a < b
-        ps.append(a[keep])
-        cs.append(b[keep])
-    p, c = (np.concatenate(v).astype(np.int64) if v else np.empty(0, np.int64) for v in (ps, cs))
-    if len(p) > 8 * n:  # many links among few rows: keep a forest
-        root = _components(n, p, c)
-        order = np.argsort(c, kind="stable")
-        _, first = np.unique(c[order], return_index=True)
-        keep = order[first]
-        kept = _components(n, p[keep], c[keep])
-        extra = kept[p] != kept[c]
-        p, c = np.concatenate([p[keep], p[extra]]), np.concatenate([c[keep], c[extra]])
-        assert np.array_equal(_components(n, p, c), root)
-    return p, c
+        part, others = todo[at : at + BLOCK], todo[at:]
+        near = x[part] @ x[others].T >= least
+        step = max(1, PAIRS // len(others))
+        for i in range(0, len(part), step):
+            # pairs of rows that aren't joined yet; those of one step are at most PAIRS, or one row's
+            a, b = np.nonzero(near[i : i + step] & (root[part[i : i + step]][:, None] != root[others][None, :]))
+            if len(a):
+                p, c, root = _join(part[i + a], others[b], root)
+                ps.append(p)
+                cs.append(c)
+    return tuple(np.concatenate(v).astype(np.int64) if v else np.empty(0, np.int64) for v in (ps, cs))
+
+
+def _join(p: np.ndarray, c: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of these pairs as many as join sets, and the roots after: each set that has a pair with a set of a lower root takes one."""
+    ps, cs = [], []
+    while True:
+        low, high = np.minimum(root[p], root[c]), np.maximum(root[p], root[c])
+        if not (apart := low != high).any():
+            return np.concatenate(ps), np.concatenate(cs), root
+        p, c, low, high = p[apart], c[apart], low[apart], high[apart]
+        high, first = np.unique(high, return_index=True)
+        ps.append(p[first])
+        cs.append(c[first])
+        to = np.arange(len(root))
+        to[high] = low[first]
+        while not np.array_equal(to[to], to):
+            to = to[to]
+        root = to[root]
 
 
 #: A row within this cosine distance of a chosen one adds no variety, so no reserved place but its group's first is spent on it.
