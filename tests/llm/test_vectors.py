@@ -191,3 +191,13 @@ def test_a_hot_set_is_never_listed_as_pairs(share, monkeypatch):
         a, b = np.nonzero(np.triu(x @ x.T >= 0.86, 1))
         want = k._components(n, a, b)
         assert np.array_equal(k._components(n, p, c), want) and len(p) == (want != np.arange(n)).sum() and peak < 80e6
+
+
+def test_a_further_table_tries_missed_pairs_anew():
+    """Many neighbours a little above the least similarity, of which the same projections miss the same ones in each table."""
+    rng = np.random.default_rng(11)
+    centres = unit(rng.standard_normal((600, 64)))
+    x = unit(centres[rng.integers(600, size=6000)] + 0.045 * rng.standard_normal((6000, 64)))
+    row, other, _ = k.nearest(x, 5, 0.86)
+    want = exact_neighbours(x, 5, 0.86)
+    assert len(set(zip(row.tolist(), other.tolist(), strict=True)) & want) >= 0.9992 * len(want)

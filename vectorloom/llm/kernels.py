@@ -61,12 +61,13 @@ def cells(x32: np.ndarray, similarity: float, size: int = CELL):
                 yield t, rows
 
 
-def nearest(x: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest(x: np.ndarray, k: int, least: float, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The up to ``k`` most similar rows of each row, of similarity ``least`` or more: (row, other, similarity to 6 decimals).
 
     Collision counting: each projection of the cell's rows is an array of base buckets; a window around the query's bucket takes
     the rows that collide with it; rows with ``COLLISIONS`` collisions or more are verified in double precision. The window is as
-    wide as the query's k-th best so far needs (virtual rehashing): narrow at first, and at most what ``least`` needs.
+    wide as the query's k-th best so far needs (virtual rehashing): narrow at first, and at most what ``least`` needs. The projections
+    are drawn by ``seed`` and anew for each table of cells.
     """
     n, d = x.shape
     best = np.full((n, k), -2.0)
@@ -74,15 +75,16 @@ def nearest(x: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray
     if n < 2:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     x32 = x.astype(np.float32)
-    lines = np.random.default_rng(SEED + 1).standard_normal((d, PROJECTIONS)).astype(np.float32)
-    code = np.ascontiguousarray(np.clip(np.floor(x32 @ lines / WIDTH) + 128, 0, 255).astype(np.int16).T)
 
     def reach(similarity):
         """Half a window, in base buckets, for the distance of this similarity."""
         return np.ceil(REACH * np.sqrt(np.maximum(0, 2 - 2 * similarity)) / WIDTH).astype(np.int16)
 
     widest, narrow = reach(np.float64(least)), reach(np.float64(1 - (1 - least) / 8))
-    for _, rows in cells(x32, least):
+    last, code = -1, None
+    for t, rows in cells(x32, least):
+        if t != last:  # other projections for each table, so that a further table tries a missed pair anew
+            last, code = t, _codes(x32, (SEED + 1, seed, t))
         for at in range(0, len(rows), BLOCK):
             q = rows[at : at + BLOCK]
             fresh = best[q, k - 1] < least
@@ -99,6 +101,12 @@ def nearest(x: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray
     return row, other[row, at], best[row, at]
 
 
+def _codes(x32: np.ndarray, seed: tuple[int, ...]) -> np.ndarray:
+    """The base bucket of each row in each projection: an array [projection, row]."""
+    lines = np.random.default_rng(seed).standard_normal((x32.shape[1], PROJECTIONS)).astype(np.float32)
+    return np.ascontiguousarray(np.clip(np.floor(x32 @ lines / WIDTH) + 128, 0, 255).astype(np.int16).T)
+
+
 def _count_and_verify(x, x32, code, ask, rows, window, best, other, k, least):
     hits = np.zeros((len(ask), len(rows)), np.uint8)
     wide, w = (2 * window).astype(np.uint16)[:, None], window[:, None]

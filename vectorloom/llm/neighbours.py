@@ -38,7 +38,8 @@ def similar_vectors(vectors: DataFrame, k: int = 5, least: float = 0.86, dims: i
 
     def search(table: pa.Table) -> pa.Table:
         table = table.take(pc.sort_indices(table["id"]))
-        q, o, s = nearest(matrix(table["data"]), k, least)
+        seed = table["tab"][0].as_py() if len(table) else 0  # each table of the groups draws its own projections
+        q, o, s = nearest(matrix(table["data"]), k, least, seed)
         ids = table["id"].combine_chunks()
         name = table["collection"].combine_chunks()
         return pa.table({"collection": name.take(pa.array(q)), "id": ids.take(pa.array(q)), "other": ids.take(pa.array(o)), "similarity": pa.array(s)})
