@@ -93,9 +93,41 @@ def test_mixture_of_texts_and_empty_tables(spark):
 def test_skeletons():
     for words in (("moron", "MORON", "m0r0n", "mооrоn", "moooron"), ("wall", "wa11", "wаll"), ("nipples", "nippl3s", "níppIes"), ("сдохни", "СДОХНИИИ")):
         assert len({tox.skeleton(w)[0] for w in words}) == 1, words
+    masked = tox.unmasking(["you stupid thing"] * 3 + ["such words"] * 4)
+    assert masked[tox.fold("s*up_d")] == tox.fold("stupid") and masked[tox.fold("wo*ds")] == tox.fold("words") and tox.unmasking([]) == {}
+    w = tox._Words(masked)
+    assert w["St#pid"][:2] == w["stupid"][:2] and w[",\n"] == (0, 0, 1) and w["\n"] == (0, 0, 0)
     assert tox.repair("Je ne tÃ©moigne pas") == "Je ne témoigne pas" and tox.repair("é ok") == "é ok"
 
 
+def test_sentences_over_two_lines():
+    w = tox._Words({})
+    doc, line, _ = tox.features(["Go away,\nyou fool.\nThe boat left.", None, "a b\n1\n00:01 --> 00:02\n...c d", "One.\nTwo."], w)
+    assert doc.tolist() == [0, 0, 0, 2, 2, 3, 3, 0, 2] and set(line.tolist()) == set(range(9))
+
+
+def test_no_label_of_a_held_out_document_reaches_its_score():
+    """Flipping the labels of one fold changes nothing in that fold's own out-of-fold scores: neither weights nor the choice of features saw them."""
+    texts, y = corpus(120, 3)
+    doc, line, feat = tox.features(texts, tox._Words({}))
+    data, none = tox._Data(doc, line, feat, len(texts)), np.zeros((len(doc), 0))
+    held = np.arange(len(texts)) % 5 == 2
+    a, b = (data.out_of_fold(t.astype(float), none, 4, 5) for t in (y, np.where(held, 1 - y, y)))
+    assert np.array_equal(a[held[doc]], b[held[doc]]) and not np.array_equal(a[~held[doc]], b[~held[doc]])
+
+
+def test_operating_point():
+    y, s = np.array([0.0] * 50 + [1.0] * 5 + [0.5]), np.r_[np.linspace(-5, -1, 50), np.linspace(0, 2, 5), 9]
+    assert -1 < tox.operating_point(s, y) < 0 and tox.operating_point(s[:50], y[:50]) == 0
+
+
+def test_labelled_texts_within_bytes(spark):
+    d = spark.createDataFrame([(i, "x" * 1000, "s", 1, 2, 3) for i in range(20)], "doc_id int, text string, source string, bytes int, votes int, toxic int")
+    labels = spark.createDataFrame([(i, r, 1) for i in range(20) for r in "ab"], "doc_id int, rater string, toxic int")
+    assert len(tox.labelled_texts(d, labels)[0]) == 20 and len(tox.labelled_texts(d, labels, limit_bytes=5500)[0]) == 5 and len(tox.labelled_texts(d, labels, limit=3)[0]) == 3
+    assert tox.labelled_texts(d, labels, limit_bytes=10)[0] == []
+
+
 def corpus(n, seed):
     rng = np.random.default_rng(seed)
     places, good = ["harbour", "mill", "tower", "chapel", "depot"], ["Tell %s the boat leaves at noon.", "I left the lamp by the %s.", "Put the worm on the hook, %s.", "The hollow tree at the %s fell."]

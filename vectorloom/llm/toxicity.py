@@ -3,18 +3,24 @@
 A text is cut into lines, for one bad line makes a document bad. Each line is a bag of hashed runs of one to three words, where words
 are first reduced to skeletons that survive look-alike letters, digits for letters, stretched, spaced, masked or misread letters,
 lost accents and invisible characters. A link of the chain is a linear model of lines; a document's probability is that of its highest
-line, which also stands for the document's label while the models are fitted. The links predict the categories one after
-the other, the probabilities of earlier ones being features of the later; while fitting, those come from models that haven't
-seen the document (out of fold). The last link is the verdict of the raters.
+line, which also stands for the document's label while the models are fitted.
 
-Raters label documents toxic or not, never the category. A category's label is weak: a document that raters call toxic and that has
-a line with one of the category's seed words.
+The links predict one after the other, the probabilities of earlier ones being features of the later; while fitting, those come from models
+that haven't seen the document: neither its weights nor the choice of features knew its label (out of fold). The first link is the verdict from words
+alone, and tells which lines make a document bad; then come the categories; the last link is the verdict of the raters again. Each link's bias is
+set so that 0.5 is the operating point of its out-of-fold scores, so no threshold is chosen by hand.
+
+Raters label documents toxic or not, never the category. A category's label is weak: a document that raters call toxic and that has,
+in a line that the first link (out of fold) holds for bad, a word that begins with one of the category's seeds.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,29 +32,38 @@ from ..functions.ids import plain_name
 BITS = 20
 #: At most so many labelled documents, those of the smallest hash, are fitted on the driver.
 MAX_LABELLED = 9_000
-FOLDS, EPOCHS, L2, THRESHOLD = 2, 20, 0.05, 0.2
+FOLDS, EPOCHS, L2, THRESHOLD = 5, 20, 0.05, 0.5
+#: Their texts are at most so many bytes together.
+MAX_BYTES = 64 << 20
+#: How many false alarms weigh as one miss while the operating point is chosen: a sample of labelled documents is richer in toxic ones than the corpus.
+FALSE_ALARM = 3.0
+#: Words to which masked ones may be completed.
+LEXICON = 6_000
 #: The share of the features' log odds with which the weights begin, and to which they are drawn.
 HEAD_START = 0.8
 
 #: Seed words of the categories, in the languages of the corpus, as beginnings of words.
 SEEDS = {
-    "sexual": "naked nipple tits cock pussy panties fucked moaned desnud bragas penetr nackt slip nippel schwanz seins culotte bite calcinha cuecas nua трусы сиськ член соск おっぱい 裸 乳首",
-    "threat": "kill slit gut bury strangle burn drown mato matar mueras parto umbringen stech schlag tuer égorg crève morra matar partir убью сдохни прирежу 殺 死ね",
-    "hate": "vermin parasite subhuman driven breed ratas plaga ratten ungeziefer mensch vermine rats ratos praga крыс паразит 害虫 ゴミ",
-    "insult": "bastard moron cunt asshole whore bitch fuck freak garbage worm idiot mierda puta perra zorra cerdo arschloch schlampe fresse merde connard salope pute merda puta vaca porco сука ублюдок мразь тварь クズ バカ",
+    "sexual": "naked nipple tits cock pussy panties fucked moaned desnud bragas penetr nackt nippel schwanz seins culotte bite calcinha cuecas трусы сиськ член соск おっぱい 裸 乳首",
+    "threat": "kill slit shoot strangle drown mato mueras parto umbringen tuer égorg crève morra убью сдохни прирежу 殺 死ね",
+    "hate": "vermin parasite subhuman disease breed ratas plaga ratten ungeziefer untermensch vermine rats ratos praga крыс паразит 害虫 ゴミ",
+    "insult": "bastard moron cunt asshole whore bitch fuck freak imbecile idiot mierda puta perra zorra cerdo arschloch schlampe fresse merde connard salope pute merda puta porco сука ублюдок мразь тварь クズ バカ",
 }
-CHAIN = (*SEEDS, "toxic")
+CHAIN = ("words", *SEEDS, "toxic")
 
 _INVISIBLE = re.compile("[\u00ad\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]+")
 _SPACED = re.compile(r"(?<!\w)\w(?:[ .\-]\w(?!\w)){2,}")
 _MOJIBAKE = re.compile("[Â-ï][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]")
 _TAGS = re.compile(r"<[^>\n]{0,40}>|\{[^}\n]{0,40}\}|\\N")
-#: A line break or a word; marks within a word stand for letters; a letter of a script without blanks is a word.
-_TOKEN = re.compile(r"[\n\r|]|[぀-ヿ㐀-鿿]|[@$0-9]*[^\W\d_぀-ヿ㐀-鿿](?:[^\W_぀-ヿ㐀-鿿]|[*#_@$!?�'’](?=[^\W_]))*")
+#: A line break (longer than one sign if a sentence may go on behind it) or a word; marks within a word stand for letters, some also at its ends; a letter of a script without blanks is a word.
+_TOKEN = re.compile(r"[,\-–…]+[ \t]*[\n\r|]|\.\.+[ \t]*[\n\r|]|[\n\r|][ \t]*(?:\.\.+|…)|[\n\r|]|[぀-ヿ㐀-鿿]|[@$0-9*#_]*[^\W\d_぀-ヿ㐀-鿿](?:[^\W_぀-ヿ㐀-鿿]|[*#_@$!?�'’]+(?=[^\W_])|[*#_]+(?!\w))*")
+_STOPS = frozenset("\n\r|,-–….")
+_SIGN = re.compile(r"[぀-ヿ㐀-鿿]")
 #: Letters that stand for each other, by look, by scanners' errors or by choice: each row becomes its first letter.
 _ALIKE = ("oaо0@4а", "ece3еёс", "li1!|jіїl", "tf7т", "hb8нв", "gq9", "s5$ѕ", "uvµ", "pр", "xх", "yу", "kк", "mм")
 _FOLD = {ord(c): row[0] for row in _ALIKE for c in row[1:]}
-_VOWELS = str.maketrans("", "", "oeluyаеёиоуыэюя*#_?�")
+_FOLD |= {ord(c): "*" for c in "#_?�"} | {ord(c): None for c in "'’"}
+_VOWELS = str.maketrans("", "", "oeluyаеёиоуыэюя*")
 _RUN = re.compile(r"(.)\1+")
 _CP1252 = {bytes([b]).decode("cp1252"): b for b in range(256) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)} | {chr(b): b for b in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
@@ -68,29 +83,61 @@ def repair(text: str) -> str:
     return "\n".join(out)
 
 
+def fold(word: str) -> str:
+    """A word in lower case without accents, look-alikes and repeats; a mask (any letter) is ``*``."""
+    w = "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c))
+    return _RUN.sub(r"\1", w.translate(_FOLD)).replace("rn", "m")
+
+
 def skeleton(word: str) -> tuple[str, str]:
     """(folded word, its consonants): equal for most damaged spellings of a word."""
-    w = "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c))
-    w = _RUN.sub(r"\1", w.translate(_FOLD).replace("'", "").replace("’", "").replace("rn", "m"))
+    w = fold(word)
     return w, w.translate(_VOWELS) or w
 
 
+def unmasking(texts: list[str]) -> dict[str, str]:
+    """For each folded word with one or two masked places the most frequent word that fits, of at most LEXICON words of three documents or more."""
+    df: Counter = Counter()
+    for text in texts:
+        df.update({*_TOKEN.findall(_clean(text))})
+    words: Counter = Counter()
+    for token, n in df.items():
+        if len(w := fold(token)) > 2 and "*" not in w and token[0] not in _STOPS:
+            words[w] += n
+    out: dict[str, str] = {}
+    for w, n in sorted(words.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
+        if n >= 3 and len(w) <= 16:
+            for i in range(len(w)):
+                for j in range(i, len(w)):
+                    if j == i or len(w) > 4:
+                        out.setdefault(_RUN.sub(r"\1", "".join("*" if at in (i, j) else c for at, c in enumerate(w))), w)
+    return out
+
+
 class _Words(dict):
-    """The two hashes of each word seen so far; a line break is 0."""
+    """Of each word seen so far its two hashes and whether it begins in lower case; a line break is 0, and whether the sentence may go on behind it."""
+
+    def __init__(self, masked: dict[str, str]):
+        super().__init__()
+        self.masked = masked
 
     def __missing__(self, word):
         if len(self) > 1_000_000:
             self.clear()
-        if word in "\n\r|":
-            got = (0, 0)
+        if word[0] in _STOPS:
+            got = (0, 0, int(len(word) > 1))
         else:
-            a, b = skeleton(word)
-            got = (xxhash.xxh64_intdigest(a, 1) >> 1 or 1, xxhash.xxh64_intdigest(b, 2) >> 1 or 1)
+            w = fold(word)
+            if "*" in w:
+                w = self.masked.get(w, w)
+            got = (xxhash.xxh64_intdigest(w, 1) >> 1 or 1, xxhash.xxh64_intdigest(w.translate(_VOWELS) or w, 2) >> 1 or 1, int(word[0].islower()))
         self[word] = got
         return got
 
 
-_WORDS = _Words()
+def _clean(text: str) -> str:
+    s = _TAGS.sub(" ", _INVISIBLE.sub("", repair(text)))
+    return _SPACED.sub(lambda m: re.sub(r"[ .\-]", "", m[0]), s)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -98,29 +145,38 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> np.uint64(29))) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
-def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text of each line, line of each feature, feature) of a batch; lines without words have no features."""
-    flat: list[tuple[int, int]] = []
+def features(texts: list[str | None], words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text of each line, line of each feature, feature) of a batch; lines without words have no features.
+
+    Where a sentence may go on in the next line (a comma, dash or dots at the break, or a small letter behind it) both lines together are one more line.
+    """
+    flat: list[tuple[int, int, int]] = []
     size = np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
         if text:
-            s = _TAGS.sub(" ", _INVISIBLE.sub("", repair(text)))
-            s = _SPACED.sub(lambda m: re.sub(r"[ .\-]", "", m[0]), s)
-            t = [_WORDS[w] for w in _TOKEN.findall(s)]
+            t = [words[w] for w in _TOKEN.findall(_clean(text))]
             flat += t
-            flat.append((0, 0))
+            flat.append((0, 0, 0))
             size[i] = len(t) + 1
     if not flat:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
-    h = np.array(flat, np.uint64)
+    h = np.fromiter(chain.from_iterable(flat), np.uint64, 3 * len(flat)).reshape(-1, 3)
     doc = np.repeat(np.arange(len(texts)), size)
-    stop = h[:, 0] == 0
+    keep = h[:, 0] != 0
     # words of one text between two breaks are a line
-    start = np.flatnonzero(~stop & np.r_[True, stop[:-1]])
-    line = np.cumsum(~stop & np.r_[True, stop[:-1]]) - 1
+    start = np.flatnonzero(keep & np.r_[True, ~keep[:-1]])
     text_of = doc[start]
-    keep = ~stop
-    w, k, ln = h[keep, 0], h[keep, 1], line[keep]
+    softly = np.cumsum(~keep & (h[:, 2] == 1))
+    end = np.flatnonzero(keep & np.r_[~keep[1:], True])
+    on = (text_of[1:] == text_of[:-1]) & ((softly[start[1:]] > softly[end[:-1]]) | (h[start[1:], 2] == 1))
+    w, k = h[keep, 0], h[keep, 1]
+    count = end - start + 1
+    first = np.cumsum(count) - count
+    joined = np.flatnonzero(on)
+    both = count[joined] + count[joined + 1]
+    at = np.repeat(first[joined] - (np.cumsum(both) - both), both) + np.arange(int(both.sum()))
+    ln = np.r_[np.repeat(np.arange(len(start)), count), np.repeat(len(start) + np.arange(len(joined)), both)]
+    w, k, text_of = np.r_[w, w[at]], np.r_[k, k[at]], np.r_[text_of, text_of[joined]]
     lines, feats = [ln], [_mix(w)]
     run, run_k = w, k
     for n in range(2, 4):
@@ -129,11 +185,8 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         same = ln[n - 1 :] == ln[: len(ln) - n + 1]
         run = run[:-1] * np.uint64(1_000_003) + w[n - 1 :]
         run_k = run_k[:-1] * np.uint64(998_244_353) + k[n - 1 :]
-        lines.append(ln[n - 1 :][same])
-        feats.append(_mix(run[same]))
-        if n < 4:
-            lines.append(ln[n - 1 :][same])
-            feats.append(_mix(run_k[same] ^ np.uint64(0x5555)))
+        lines += [ln[n - 1 :][same]] * 2
+        feats += [_mix(run[same]), _mix(run_k[same] ^ np.uint64(0x5555))]
     return text_of, np.concatenate(lines), np.concatenate(feats)
 
 
@@ -147,109 +200,114 @@ def _distinct(x: np.ndarray) -> np.ndarray:
 
 
 class _Data:
-    """Features of labelled documents. ``extra`` are earlier links' scores of the lines.
-
-    Kept are features of two documents or more that occur clearly more often in toxic ones, and the other features of lines that hold
-    a strong one of these, for they tell the harmless uses of a word. All lines without any are alike, so they need no features.
-    """
+    """Features of labelled documents."""
 
-    def __init__(self, doc: np.ndarray, line: np.ndarray, feat: np.ndarray, y: np.ndarray):
-        n_docs = self.n_docs = len(y)
-        self.doc = doc
+    def __init__(self, doc: np.ndarray, line: np.ndarray, feat: np.ndarray, n_docs: int):
+        self.doc, self.line, self.feat, self.n_docs = doc, line, feat, n_docs
+        self.by_doc = np.argsort(doc, kind="stable")
         pair = _distinct(doc[line] * (1 << BITS) + feat)
-        df = np.bincount(pair % (1 << BITS), minlength=1 << BITS)
-        bad = np.bincount(pair % (1 << BITS), y[pair >> BITS], minlength=1 << BITS)
-        rate = (bad + y.mean()) / (df + 1)
-        keep = (df >= 2) & (bad >= 1.2) & (rate >= 2 * y.mean())
-        strong = keep & (rate >= 3 * y.mean())
-        context = np.zeros(len(doc), bool)
-        context[line[strong[feat]]] = True
-        keep[feat[context[line]]] = True
-        keep &= df >= 2
-        used = np.flatnonzero(keep)
-        place = np.full(1 << BITS, -1, np.int64)
-        place[used] = np.arange(len(used))
-        at = place[feat]
-        ln, ft = line[at >= 0], at[at >= 0]
-        # lines of the same features are one
-        mark = np.random.default_rng(5).random(len(used))
-        _, first, self.kind = np.unique(np.bincount(ln, mark[ft], minlength=len(doc)), return_index=True, return_inverse=True)
-        row = np.full(len(doc), -1, np.int64)
-        row[first] = np.arange(len(first))
-        real = row[ln] >= 0
-        self.used, self.line, self.feat, self.n_kinds = used, row[ln[real]], ft[real], len(first)
+        self.pair_doc, self.pair_feat = pair >> BITS, pair % (1 << BITS)
+
+    def kept(self, y: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(features, their log odds), chosen by the labels of the documents ``on`` alone.
+
+        Kept are features of two documents or more that occur clearly more often in bad ones, and the other features of lines that hold a strong
+        one of these, for they tell the harmless uses of a word.
+        """
+        here = on[self.pair_doc]
+        df = np.bincount(self.pair_feat[here], minlength=1 << BITS)
+        bad = np.bincount(self.pair_feat[here], y[self.pair_doc[here]], minlength=1 << BITS)
+        prior = y[on].mean()
+        rate = (bad + prior) / (df + 1)
+        keep = (df >= 2) & (bad >= 1.2) & (rate >= 2 * prior)
+        strong = keep & (rate >= 3 * prior)
+        context = np.zeros(len(self.doc), bool)
+        context[self.line[strong[self.feat]]] = True
+        context &= on[self.doc]
+        keep[self.feat[context[self.line]]] = True
+        used = np.flatnonzero(keep & (df >= 2))
+        rate = np.clip((bad[used] + 2 * prior) / (df[used] + 2), 1e-3, 1 - 1e-3)
+        return used, np.log(rate / (1 - rate)) - np.log(prior / (1 - prior))
 
     def fit(self, y: np.ndarray, on: np.ndarray, extra: np.ndarray, epochs: int) -> tuple[np.ndarray, np.ndarray]:
-        """Weights of the features, and of (1, extra...), of a logistic model of lines, from the labels of the documents ``on``.
+        """Weights of all features, and of (1, extra...), of a logistic model of lines, from the labels of the documents ``on``.
 
-        The first weights are the features' log odds. Then, twice: a document's highest line stands for its label, the other lines of
-        clean documents are negative, and the model is fitted anew.
+        The first weights are the features' log odds. A document's highest line, found by them and again after a third of the epochs, stands
+        for its label; the other lines of clean documents are negative.
         """
-        rows = np.flatnonzero(on[self.doc])
-        doc, kind = self.doc[rows], self.kind[rows]
-        # extra columns belong to instances, so kinds are parted by them (rounded)
-        part, kind_of = np.unique(np.column_stack([kind, np.round(extra[rows] * 8)]), axis=0, return_inverse=True)
-        kind_of = kind_of.ravel()
-        n = len(part)
-        x = np.column_stack([np.ones(n), part[:, 1:] / 8])
-        order = np.argsort(self.line, kind="stable")
-        start = np.searchsorted(self.line[order], np.arange(self.n_kinds + 1))
-        base = part[:, 0].astype(np.int64)
-        count = start[base + 1] - start[base]
-        line = np.repeat(np.arange(n), count)
-        feat = self.feat[order[np.repeat(start[base] - (np.cumsum(count) - count), count) + np.arange(count.sum())]]
-        docs = np.unique(doc)
-        w, v = np.zeros(len(self.used)), np.zeros(x.shape[1])
-        if not len(docs) or y[docs].sum() < 1:
-            v[0] = -8.0
-            return w, v
-        inst = np.bincount(kind_of, minlength=n)
-        scale = 1 / np.sqrt(np.maximum(count, 1))
-        pair = _distinct(doc[np.repeat(np.arange(len(rows)), count[kind_of])] * len(w) + feat[_runs(line, kind_of, count)])
-        df, bad = np.bincount(pair % max(1, len(w)), minlength=len(w)), np.bincount(pair % max(1, len(w)), y[pair // max(1, len(w))], minlength=len(w))
-        prior = y[docs].mean()
-        rate = np.clip((bad + 2 * prior) / (df + 2), 1e-3, 1 - 1e-3)
-        odds = np.log(rate / (1 - rate)) - np.log(prior / (1 - prior))
-        w = odds
-        s = np.bincount(line, w[feat], minlength=n) * scale
-        for _ in range(2):
-            # the highest line of each document
-            o = np.lexsort((-s[kind_of], doc))
-            top = o[np.r_[True, doc[o][1:] != doc[o][:-1]]]
-            t, c = np.zeros(n), inst.astype(float)
-            np.add.at(t, kind_of[top], y[doc[top]])
-            # a bad document may have other bad lines, so its other lines say nothing
-            unsure = y[doc] >= 0.5
-            unsure[top] = False
-            np.subtract.at(c, kind_of[unsure], 1)
-            w, v = HEAD_START * odds, np.zeros(x.shape[1])
-            v[0] = -5.0
-            m, q = [np.zeros_like(w), np.zeros_like(v)], [np.zeros_like(w), np.zeros_like(v)]
-            for i in range(1, epochs + 1):
-                p = _sigmoid(np.bincount(line, w[feat], minlength=n) * scale + x @ v)
-                g = c * p - t
-                gs = g * scale
-                for k, (par, grad) in enumerate(zip((w, v), (np.bincount(feat, gs[line], minlength=len(w)) + L2 * (w - HEAD_START * odds), x.T @ g + L2 * np.r_[0, v[1:]]), strict=True)):
-                    m[k] = 0.9 * m[k] + 0.1 * grad
-                    q[k] = 0.99 * q[k] + 0.01 * grad * grad
-                    par -= 0.1 * (m[k] / (1 - 0.9**i)) / (np.sqrt(q[k] / (1 - 0.99**i)) + 1e-2)
+        full, v = np.zeros(1 << BITS, np.float32), np.zeros(1 + extra.shape[1])
+        v[0] = -8.0
+        if y[on].sum() < 1:
+            return full, v
+        used, odds = self.kept(y, on)
+        place = np.full(1 << BITS, -1, np.int32)
+        place[used] = np.arange(len(used))
+        at = place[self.feat]
+        real = (at >= 0) & on[self.doc][self.line]
+        ln, ft = self.line[real], at[real]
+        # lines of the same features and earlier probabilities (in eighths) are one; those without features are alike
+        mark = np.bincount(ln, np.random.default_rng(5).random(len(used))[ft], minlength=len(self.doc))
+        rows = self.by_doc[on[self.doc[self.by_doc]]]
+        part = np.round(extra[rows] * 8)
+        key = mark[rows] + part @ (np.pi * 1000.0 ** np.arange(1, 1 + part.shape[1]))
+        _, first, kind = np.unique(key, return_index=True, return_inverse=True)
+        n, doc = len(first), self.doc[rows]
+        x = np.column_stack([np.ones(n), part[first] / 8])
+        row = np.full(len(self.doc), -1)
+        row[rows[first]] = np.arange(n)
+        model = row[ln] >= 0
+        line, feat = row[ln[model]], ft[model]
+        scale = 1 / np.sqrt(np.maximum(np.bincount(line, minlength=n), 1))
+        inst = np.bincount(kind, minlength=n)
+        w, v = HEAD_START * odds, np.zeros(x.shape[1])
+        v[0] = -5.0
+        s = np.bincount(line, odds[feat], minlength=n) * scale
+        m, q = [np.zeros_like(w), np.zeros_like(v)], [np.zeros_like(w), np.zeros_like(v)]
+        by_doc = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        of_doc = np.cumsum(np.r_[True, doc[1:] != doc[:-1]]) - 1
+        for i in range(1, epochs + 1):
+            if i in (1, 1 + epochs // 3):
+                # the highest line of each document
+                sk = s[kind]
+                top = np.flatnonzero(sk == np.maximum.reduceat(sk, by_doc)[of_doc])
+                top = top[np.r_[True, doc[top[1:]] != doc[top[:-1]]]]
+                t, c = np.zeros(n), inst.astype(float)
+                np.add.at(t, kind[top], y[doc[top]])
+                # a bad document may have other bad lines, so its other lines say nothing
+                unsure = y[doc] >= 0.5
+                unsure[top] = False
+                np.subtract.at(c, kind[unsure], 1)
+            g = c * _sigmoid(s if i > 1 else np.bincount(line, w[feat], minlength=n) * scale + x @ v) - t
+            gs = g * scale
+            for k, (par, grad) in enumerate(zip((w, v), (np.bincount(feat, gs[line], minlength=len(w)) + L2 * (w - HEAD_START * odds), x.T @ g + L2 * np.r_[0, v[1:]]), strict=True)):
+                m[k] = 0.9 * m[k] + 0.1 * grad
+                q[k] = 0.99 * q[k] + 0.01 * grad * grad
+                par -= 0.1 * (m[k] / (1 - 0.9**i)) / (np.sqrt(q[k] / (1 - 0.99**i)) + 1e-2)
             s = np.bincount(line, w[feat], minlength=n) * scale + x @ v
-        return w, v
+        full[used] = w
+        return full, v
 
     def scores(self, w: np.ndarray, v: np.ndarray, extra: np.ndarray) -> np.ndarray:
-        return _normed(self.line, w[self.feat], np.ones(len(self.line), bool), self.n_kinds)[self.kind] + v[0] + extra @ v[1:]
+        return line_scores(self.line, w[self.feat], len(self.doc), v, extra)
 
+    def out_of_fold(self, y: np.ndarray, extra: np.ndarray, epochs: int, folds: int) -> np.ndarray:
+        """Scores of the lines by models, their features included, that haven't seen the labels of the lines' documents."""
+        fold, out = np.arange(self.n_docs) % folds, np.zeros(len(self.doc))
+        for k in range(folds):
+            held = fold[self.doc] == k
+            out[held] = self.scores(*self.fit(y, fold != k, extra, epochs), extra)[held]
+        return out
 
-def _normed(line: np.ndarray, weight: np.ndarray, known: np.ndarray, n: int) -> np.ndarray:
-    """The sum of each line's weights over the root of the number of its known features."""
-    return np.bincount(line, weight, minlength=n) / np.sqrt(np.maximum(np.bincount(line[known], minlength=n), 1))
+    def highest(self, scores: np.ndarray) -> np.ndarray:
+        out = np.full(self.n_docs, -30.0)
+        np.maximum.at(out, self.doc, scores)
+        return out
 
 
-def _runs(line: np.ndarray, which: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The entries of each line of ``which``, one line after the other; ``line`` is sorted."""
-    start = np.cumsum(count) - count
-    size = count[which]
-    return np.repeat(start[which] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+def line_scores(line: np.ndarray, weight: np.ndarray, n: int, v: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    """The sum of each line's weights over the root of the number of its known features, and what the earlier links add."""
+    known = np.bincount(line[weight != 0], minlength=n)
+    return np.bincount(line, weight, minlength=n) / np.sqrt(np.maximum(known, 1)) + v[0] + extra @ v[1:]
 
 
 def true_labels(toxic: np.ndarray, votes: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -265,61 +323,128 @@ def true_labels(toxic: np.ndarray, votes: np.ndarray, rounds: int = 50) -> np.nd
     return p if len(votes) else np.empty(0)
 
 
-def _has_seed(name: str, text: str, words: set[str]) -> bool:
-    """Whether a word begins with a seed of the category; in scripts without blanks, whether the text holds it."""
-    starts = tuple(x for x in SEEDS[name].split() if ord(x[0]) < 0x3000)
-    return any(w.startswith(starts) for w in words) or any(x in text for x in SEEDS[name].split() if ord(x[0]) >= 0x3000)
+def _seeded(words: _Words) -> dict[str, np.ndarray]:
+    """The features of each category's seeds: every word seen that begins with one, however it was damaged; in scripts without blanks the signs in a row."""
+    out = {}
+    for name, seeds in SEEDS.items():
+        plain = tuple(fold(x) for x in seeds.split() if not _SIGN.match(x))
+        found = {h[0] for w, h in words.items() if h[0] and words.masked.get(f := fold(w), f).startswith(plain)}
+        for x in seeds.split():
+            if _SIGN.match(x):
+                run = 0
+                for c in x:
+                    run = (run * 1_000_003 + words[c][0]) % (1 << 64)
+                found.add(run)
+        out[name] = _mix(np.array(sorted(found), np.uint64))
+    return out
+
 
+@dataclass
+class Chain:
+    """The fitted links (weights by feature, (bias, weights of the earlier links' probabilities)), and what masked words stand for."""
 
-def fit_chain(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, folds: int = FOLDS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The chain's links: (weights by feature hash, (bias, weights of the earlier links' probabilities))."""
+    links: list[tuple[np.ndarray, np.ndarray]]
+    masked: dict[str, str]
+
+    def small(self) -> "Chain":
+        """With the weights as (places, values), to be sent."""
+        return Chain([((np.flatnonzero(w).astype(np.int32), w[np.flatnonzero(w)]), v) for w, v in self.links], self.masked)
+
+    def whole(self) -> "Chain":
+        full = [np.zeros(1 << BITS, np.float32) for _ in self.links]
+        for f, ((at, w), _) in zip(full, self.links, strict=True):
+            f[at] = w
+        return Chain([(f, v) for f, (_, v) in zip(full, self.links, strict=True)], self.masked)
+
+
+def operating_point(scores: np.ndarray, y: np.ndarray) -> float:
+    """The score from which a document counts: of the greatest F1 over the documents whose label is nearly sure, a false alarm counting FALSE_ALARM times.
+
+    Sure are documents of a probability under 0.002 (mostly two raters who agree; of those called clean by one, so many are bad that they would pass for false alarms) or above 0.95.
+    """
+    sure = (y < 0.002) | (y > 0.95)
+    s, t = scores[sure], y[sure] > 0.5
+    if not t.any() or t.all():
+        return 0.0  # too few to tell
+    order = np.argsort(-s)
+    hit, false = np.cumsum(t[order]), np.cumsum(~t[order])
+    f1 = 2 * hit / (t.sum() + hit + FALSE_ALARM * false)
+    f1[:-1][np.diff(s[order]) == 0] = -1
+    best = int(np.argmax(f1))
+    below = s[order][best + 1] if best + 1 < len(s) else s[order][best] - 1
+    return float((s[order][best] + below) / 2)
+
+
+def fit_chain(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, folds: int = FOLDS) -> tuple[Chain, dict]:
+    """(the chain, measures of its out-of-fold predictions by link: documents of the class, precision and recall against its own labels)."""
     if not len(texts) or y.sum() < 1:
-        return [(np.zeros(1 << BITS, np.float32), np.r_[-8.0, np.zeros(i)]) for i in range(len(CHAIN))]
-    doc, line, feat = features(texts)
-    data = _Data(doc, line, feat, y)
-    lower = [_INVISIBLE.sub("", repair(t)).lower() for t in texts]
-    words = [set(re.findall(r"\w+", t)) for t in lower]
-    fold = np.arange(len(texts)) % folds
-    extra, links = np.zeros((len(doc), 0)), []
+        return Chain([(np.zeros(1 << BITS, np.float32), np.r_[-8.0, np.zeros(i)]) for i in range(len(CHAIN))], {}), {}
+    words = _Words(unmasking(texts))
+    doc, line, feat = features(texts, words)
+    data = _Data(doc, line, feat, len(texts))
+    seeds = _seeded(words)
+    extra, links, measures = np.zeros((len(doc), 0)), [], {}
+    bad_line = np.zeros(len(doc), bool)
     for name in CHAIN:
-        target = y if name == "toxic" else y * np.array([_has_seed(name, t, ws) for t, ws in zip(lower, words, strict=True)])
+        target = y
+        if name in SEEDS:
+            seeded = np.zeros(len(doc), bool)
+            seeded[line[np.isin(feat, seeds[name])]] = True
+            has = np.zeros(len(texts), bool)
+            has[doc[seeded & bad_line]] = True
+            target = y * has
         w, v = data.fit(target, np.ones(len(texts), bool), extra, epochs)
-        full = np.zeros(1 << BITS, np.float32)
-        full[data.used] = w
-        links.append((full, v))
-        if name != "toxic":
-            out = np.zeros(len(doc))
-            for k in range(folds):
-                s = data.scores(*data.fit(target, fold != k, extra, epochs), extra)
-                held = fold[doc] == k
-                out[held] = s[held]
-            extra = np.hstack([extra, _sigmoid(out)[:, None]])
-    return links
-
-
-def score_texts(links, texts: list[str | None]) -> np.ndarray:
+        out = data.out_of_fold(target, extra, epochs, folds)
+        top = data.highest(out)
+        v[0] -= (at := operating_point(top, target))
+        links.append((w, v))
+        out -= at
+        sure = (target < 0.002) | (target > 0.95)
+        hit, true = top[sure] >= at, target[sure] > 0.5
+        measures[name] = {"documents": int(true.sum()), "precision": float((hit & true).sum() / max(1, hit.sum())), "recall": float((hit & true).sum() / max(1, true.sum()))}
+        if name == CHAIN[0]:
+            # the lines that make a document bad: all that the held-out models find, and its highest
+            best = top - at
+            bad_line = (out >= 0) | ((out >= best[doc] - 1e-9) & (y[doc] > 0.5))
+        extra = np.hstack([extra, _sigmoid(out)[:, None]])
+    return Chain(links, words.masked), measures
+
+
+def score_texts(chain: Chain, texts: list[str | None], words: _Words | None = None) -> np.ndarray:
     """The probability of each link for each text, that of its highest line: an array [text, link]. A text without words has 0."""
-    doc, line, feat = features(texts)
+    doc, line, feat = features(texts, words if words is not None else _Words(chain.masked))
     extra = np.zeros((len(doc), 0))
-    out = np.zeros((len(texts), len(links)))
-    for i, (w, v) in enumerate(links):
-        weight = w[feat]
-        p = _sigmoid(_normed(line, weight, weight != 0, len(doc)) + v[0] + extra @ v[1:]) if len(doc) else np.empty(0)
+    out = np.zeros((len(texts), len(chain.links)))
+    if not len(doc):
+        return out
+    # most features have no weight in any link, and most lines no such feature
+    some = np.zeros(1 << BITS, bool)
+    for w, _ in chain.links:
+        some |= w != 0
+    real = some[feat]
+    line, feat = line[real], feat[real]
+    for i, (w, v) in enumerate(chain.links):
+        p = _sigmoid(line_scores(line, w[feat], len(doc), v, extra))
         np.maximum.at(out[:, i], doc, p)
         extra = np.hstack([extra, p[:, None]])
     return out
 
 
-def labelled_texts(documents: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[list[str], np.ndarray]:
-    """Texts of labelled documents and how likely each is toxic; at most ``limit`` documents, those of the smallest hash of their id.
+def labelled_texts(documents: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, limit_bytes: int = MAX_BYTES) -> tuple[list[str], np.ndarray]:
+    """Texts of labelled documents and how likely each is toxic; at most ``limit`` documents of ``limit_bytes`` together, those of the smallest hash of their id.
 
-    Repeated rows of a rater count once, null ratings not at all; documents without text are left out.
+    Repeated rows of a rater count once, null ratings not at all; documents without text are left out. Ids and sizes are collected first, then only the texts within the bounds.
     """
     votes = labels.select("doc_id", "rater", "toxic").where(F.col("toxic").isin(0, 1)).distinct()
     votes = votes.groupBy("doc_id").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("votes"))
     texts = documents.select("doc_id", "text").where(F.length("text") > 0)
-    rows = texts.join(votes, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).toArrow()
-    rows = rows.sort_by("doc_id")
+    sizes = texts.select("doc_id", F.octet_length("text").alias("bytes")).join(votes, "doc_id").groupBy("doc_id").agg(F.sum("bytes").alias("bytes"), F.first("toxic").alias("toxic"), F.first("votes").alias("votes"))
+    rows = sizes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).toArrow()
+    within = rows.take(pa.array(np.flatnonzero(np.cumsum(rows["bytes"].to_numpy()) <= limit_bytes)))
+    if not within.num_rows:
+        return [], np.empty(0)
+    chosen = documents.sparkSession.createDataFrame(within.select(["doc_id", "toxic", "votes"]))  # bounded by ``limit``
+    rows = texts.join(F.broadcast(chosen), "doc_id").toArrow().sort_by("doc_id")
     return rows["text"].to_pylist(), true_labels(rows["toxic"].to_numpy().astype(float), rows["votes"].to_numpy().astype(float))
 
 
@@ -329,22 +454,19 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, limit: int = MAX_LA
     The chain is fitted on a bounded sample of the labelled documents. A null text, or one without words, scores 0; without
     labels, or without any toxic one, everything scores next to 0. Rows are never merged.
     """
-    links = fit_chain(*labelled_texts(documents, labels, limit))
-    small = [(np.flatnonzero(w).astype(np.int32), w[np.flatnonzero(w)], v) for w, v in links]
-    shared = documents.sparkSession.sparkContext.broadcast(small)
-    names = [f"p_{c}" for c in CHAIN]
+    chain_, _ = fit_chain(*labelled_texts(documents, labels, limit))
+    shared = documents.sparkSession.sparkContext.broadcast(chain_.small())
+    names = [f"p_{c}" for c in CHAIN[1:]]
     rows = documents.select("doc_id", *keep, "text")
     schema = rows.select("doc_id", *keep, *(F.lit(0.0).alias(n) for n in names)).schema
 
     def score(batches):
-        full = []
-        for at, w, v in shared.value:
-            full.append((np.zeros(1 << BITS, np.float32), v))
-            full[-1][0][at] = w
+        fitted = shared.value.whole()
+        words = _Words(fitted.masked)
         for b in batches:
             for i in range(0, b.num_rows, 1000):
                 part = b.slice(i, 1000)
-                p = score_texts(full, part["text"].to_pylist())
+                p = score_texts(fitted, part["text"].to_pylist(), words)[:, 1:]
                 yield pa.RecordBatch.from_arrays([part[c] for c in ("doc_id", *keep)] + [pa.array(p[:, j]) for j in range(len(names))], names=["doc_id", *keep, *names])
 
     return rows.mapInArrow(score, schema)
