@@ -93,23 +93,28 @@ def test_mixture_of_texts_and_empty_tables(spark):
 def test_skeletons():
     for words in (("moron", "MORON", "m0r0n", "mооrоn", "moooron"), ("wall", "wa11", "wаll"), ("nipples", "nippl3s", "níppIes"), ("сдохни", "СДОХНИИИ")):
         assert len({tox.skeleton(w)[0] for w in words}) == 1, words
-    masked = tox.unmasking(["you stupid thing"] * 3 + ["such words"] * 4)
-    assert masked[tox.fold("s*up_d")] == tox.fold("stupid") and masked[tox.fold("wo*ds")] == tox.fold("words") and tox.unmasking([]) == {}
-    w = tox._Words(masked)
-    assert w["St#pid"][:2] == w["stupid"][:2] and w[",\n"] == (0, 0, 1) and w["\n"] == (0, 0, 0)
+    w = tox._Words({})
+    numbers, size = w.of(["you stupid thing"] * 3 + ["such words"] * 4 + [None, "", "St#pid s*up_d, wo*ds"])
+    masked = tox.unmasking(numbers, size, w)
+    assert masked[tox.fold("s*up_d")] == tox.fold("stupid") and masked[tox.fold("wo*ds")] == tox.fold("words") and tox.unmasking(numbers[:0], size[:0], w) == {}
+    hashes = lambda x: w.rows[w.cut(x)[0]][:2]
+    assert hashes("St#pid") != hashes("stupid")
+    w.complete(masked)
+    assert hashes("St#pid") == hashes("s*up_d,") == hashes("stupid") == hashes("-Stupid!")
     assert tox.repair("Je ne tÃ©moigne pas") == "Je ne témoigne pas" and tox.repair("é ok") == "é ok"
 
 
 def test_sentences_over_two_lines():
     w = tox._Words({})
-    doc, line, _ = tox.features(["Go away,\nyou fool.\nThe boat left.", None, "a b\n1\n00:01 --> 00:02\n...c d", "One.\nTwo."], w)
+    doc, line, _ = tox.features(*w.of(["Go away,\r\nYou fool.\nThe boat left.", None, "A b\n1\n00:01 --> 00:02\n...C d", "One.|Two."]), w)
     assert doc.tolist() == [0, 0, 0, 2, 2, 3, 3, 0, 2] and set(line.tolist()) == set(range(9))
 
 
 def test_no_label_of_a_held_out_document_reaches_its_score():
     """Flipping the labels of one fold changes nothing in that fold's own out-of-fold scores: neither weights nor the choice of features saw them."""
     texts, y = corpus(120, 3)
-    doc, line, feat = tox.features(texts, tox._Words({}))
+    w = tox._Words({})
+    doc, line, feat = tox.features(*w.of(texts), w)
     data, none = tox._Data(doc, line, feat, len(texts)), np.zeros((len(doc), 0))
     held = np.arange(len(texts)) % 5 == 2
     a, b = (data.out_of_fold(t.astype(float), none, 4, 5) for t in (y, np.where(held, 1 - y, y)))

@@ -37,6 +37,8 @@ FOLDS, EPOCHS, L2, THRESHOLD = 5, 20, 0.05, 0.5
 MAX_BYTES = 64 << 20
 #: How many false alarms weigh as one miss while the operating point is chosen: a sample of labelled documents is richer in toxic ones than the corpus.
 FALSE_ALARM = 3.0
+#: Lines to which the first link gives less belong to no category.
+GATE = 0.02
 #: Words to which masked ones may be completed.
 LEXICON = 6_000
 #: The share of the features' log odds with which the weights begin, and to which they are drawn.
@@ -52,13 +54,17 @@ SEEDS = {
 CHAIN = ("words", *SEEDS, "toxic")
 
 _INVISIBLE = re.compile("[\u00ad\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]+")
-_SPACED = re.compile(r"(?<!\w)\w(?:[ .\-]\w(?!\w)){2,}")
+_SPACED = re.compile(r"\b\w(?:[ .\-]\w\b){2,}")
 _MOJIBAKE = re.compile("[Â-ï][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]")
 _TAGS = re.compile(r"<[^>\n]{0,40}>|\{[^}\n]{0,40}\}|\\N")
-#: A line break (longer than one sign if a sentence may go on behind it) or a word; marks within a word stand for letters, some also at its ends; a letter of a script without blanks is a word.
-_TOKEN = re.compile(r"[,\-–…]+[ \t]*[\n\r|]|\.\.+[ \t]*[\n\r|]|[\n\r|][ \t]*(?:\.\.+|…)|[\n\r|]|[぀-ヿ㐀-鿿]|[@$0-9*#_]*[^\W\d_぀-ヿ㐀-鿿](?:[^\W_぀-ヿ㐀-鿿]|[*#_@$!?�'’]+(?=[^\W_])|[*#_]+(?!\w))*")
-_STOPS = frozenset("\n\r|,-–….")
+#: A word; marks within it stand for letters, some also at its ends; a letter of a script without blanks is a word.
+_TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|[@$0-9*#_]*[^\W\d_぀-ヿ㐀-鿿](?:[^\W_぀-ヿ㐀-鿿]|[*#_@$!?�'’]+(?=[^\W_])|[*#_]+(?!\w))*")
+_LETTER = re.compile(r"[^\W\d_]")
 _SIGN = re.compile(r"[぀-ヿ㐀-鿿]")
+#: Behind and before these a sentence may go on in the next line.
+_GOES_ON, _WENT_ON = (",", "-", "–", "…", ".."), ("..", "…")
+#: Longer pieces between blanks aren't remembered.
+_PIECE = 24
 #: Letters that stand for each other, by look, by scanners' errors or by choice: each row becomes its first letter.
 _ALIKE = ("oaо0@4а", "ece3еёс", "li1!|jіїl", "tf7т", "hb8нв", "gq9", "s5$ѕ", "uvµ", "pр", "xх", "yу", "kк", "mм")
 _FOLD = {ord(c): row[0] for row in _ALIKE for c in row[1:]}
@@ -95,49 +101,95 @@ def skeleton(word: str) -> tuple[str, str]:
     return w, w.translate(_VOWELS) or w
 
 
-def unmasking(texts: list[str]) -> dict[str, str]:
-    """For each folded word with one or two masked places the most frequent word that fits, of at most LEXICON words of three documents or more."""
-    df: Counter = Counter()
-    for text in texts:
-        df.update({*_TOKEN.findall(_clean(text))})
-    words: Counter = Counter()
-    for token, n in df.items():
-        if len(w := fold(token)) > 2 and "*" not in w and token[0] not in _STOPS:
-            words[w] += n
-    out: dict[str, str] = {}
-    for w, n in sorted(words.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
-        if n >= 3 and len(w) <= 16:
-            for i in range(len(w)):
-                for j in range(i, len(w)):
-                    if j == i or len(w) > 4:
-                        out.setdefault(_RUN.sub(r"\1", "".join("*" if at in (i, j) else c for at, c in enumerate(w))), w)
-    return out
+class _Words:
+    """The words seen so far, by number: their two hashes, and how a sentence may run over the line breaks beside them.
 
+    A text is cut at blanks first, for most pieces between them have been seen before.
+    """
 
-class _Words(dict):
-    """Of each word seen so far its two hashes and whether it begins in lower case; a line break is 0, and whether the sentence may go on behind it."""
+    #: Flags of a word: it begins in lower case or behind dots, so a sentence may go on in it; or its sentence may go on behind it.
+    INTO, BEYOND = 1, 2
 
     def __init__(self, masked: dict[str, str]):
-        super().__init__()
         self.masked = masked
+        self.clear()
+
+    def clear(self):
+        self.pieces: dict[str, tuple[int, ...]] = {"": (), "\n": (0,)}
+        self.number: dict[tuple[str, int], int] = {("\n", 0): 0}
+        self.rows: list[tuple[int, int, int]] = [(0, 0, 0)]
+
+    def hashes(self, word: str) -> tuple[int, int]:
+        w = fold(word)
+        if "*" in w:
+            w = self.masked.get(w, w)
+        return xxhash.xxh64_intdigest(w, 1) >> 1 or 1, xxhash.xxh64_intdigest(w.translate(_VOWELS) or w, 2) >> 1 or 1
 
-    def __missing__(self, word):
-        if len(self) > 1_000_000:
+    def complete(self, masked: dict[str, str]) -> None:
+        """Masked words become those that they stand for."""
+        self.masked = masked
+        for (word, flag), i in self.number.items():
+            if i and "*" in fold(word):
+                self.rows[i] = (*self.hashes(word), flag)
+
+    def cut(self, piece: str) -> tuple[int, ...]:
+        if not _LETTER.search(piece):
+            return ()
+        found = _TOKEN.findall(piece)
+        out = []
+        for i, word in enumerate(found):
+            into = word[0].islower() or (i == 0 and piece.startswith(_WENT_ON))
+            key = (word, self.INTO * into + self.BEYOND * (i == len(found) - 1 and piece.endswith(_GOES_ON)))
+            n = self.number.get(key)
+            if n is None:
+                n = self.number[key] = len(self.rows)
+                self.rows.append((*self.hashes(word), key[1]))
+            out.append(n)
+        if len(piece) <= _PIECE:
+            self.pieces[piece] = tuple(out)
+        return tuple(out)
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(the numbers of all words, a line break being 0, one text after the other; how many each text has)."""
+        if len(self.rows) + len(self.pieces) > 2_000_000:
             self.clear()
-        if word[0] in _STOPS:
-            got = (0, 0, int(len(word) > 1))
-        else:
-            w = fold(word)
-            if "*" in w:
-                w = self.masked.get(w, w)
-            got = (xxhash.xxh64_intdigest(w, 1) >> 1 or 1, xxhash.xxh64_intdigest(w.translate(_VOWELS) or w, 2) >> 1 or 1, int(word[0].islower()))
-        self[word] = got
-        return got
+        flat: list[int] = []
+        size = np.zeros(len(texts), np.int64)
+        known, before = self.pieces, 0
+        for i, text in enumerate(texts):
+            if text:
+                for piece in _clean(text).split(" "):
+                    flat += known[piece] if piece in known else self.cut(piece)
+                flat.append(0)
+                size[i] = len(flat) - before
+                before = len(flat)
+        return np.array(flat, np.int64), size
 
 
 def _clean(text: str) -> str:
-    s = _TAGS.sub(" ", _INVISIBLE.sub("", repair(text)))
-    return _SPACED.sub(lambda m: re.sub(r"[ .\-]", "", m[0]), s)
+    """Without markup and invisible characters, spaced words together, each line break between blanks."""
+    s = text if text.isascii() else _INVISIBLE.sub("", repair(text))
+    s = _SPACED.sub(lambda m: re.sub(r"[ .\-]", "", m[0]), _TAGS.sub(" ", s))
+    s = s.replace("\r", "\n").replace("|", "\n").replace("\t", " ")
+    return s.replace(" -\n", "-\n").replace(" ...\n", "...\n").replace("\n... ", "\n...").replace("\n", " \n ")
+
+
+def unmasking(numbers: np.ndarray, size: np.ndarray, words: _Words) -> dict[str, str]:
+    """For each folded word with one or two masked places the most frequent word that fits, of at most LEXICON words of three documents or more."""
+    pair = _distinct(np.repeat(np.arange(len(size)), size) * len(words.rows) + numbers)
+    df = np.bincount(pair % len(words.rows), minlength=len(words.rows))
+    known: Counter = Counter()
+    for (word, _), i in words.number.items():
+        if i and df[i] and len(w := fold(word)) > 2 and "*" not in w:
+            known[w] += int(df[i])
+    out: dict[str, str] = {}
+    for w, n in sorted(known.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
+        if n >= 3 and len(w) <= 16:
+            for i in range(len(w)):
+                for j in range(i, len(w)):
+                    if j == i or len(w) > 4:
+                        out.setdefault(_RUN.sub(r"\1", "".join("*" if at in (i, j) else c for at, c in enumerate(w))), w)
+    return out
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -145,31 +197,23 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> np.uint64(29))) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
-def features(texts: list[str | None], words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text of each line, line of each feature, feature) of a batch; lines without words have no features.
+def features(numbers: np.ndarray, size: np.ndarray, words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text of each line, line of each feature, feature) of the words of some texts; lines without words have no features.
 
     Where a sentence may go on in the next line (a comma, dash or dots at the break, or a small letter behind it) both lines together are one more line.
     """
-    flat: list[tuple[int, int, int]] = []
-    size = np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        if text:
-            t = [words[w] for w in _TOKEN.findall(_clean(text))]
-            flat += t
-            flat.append((0, 0, 0))
-            size[i] = len(t) + 1
-    if not flat:
+    if not numbers.any():
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
-    h = np.fromiter(chain.from_iterable(flat), np.uint64, 3 * len(flat)).reshape(-1, 3)
-    doc = np.repeat(np.arange(len(texts)), size)
-    keep = h[:, 0] != 0
+    h = np.fromiter(chain.from_iterable(words.rows), np.uint64, 3 * len(words.rows)).reshape(-1, 3)
+    doc = np.repeat(np.arange(len(size)), size)
+    keep = numbers != 0
     # words of one text between two breaks are a line
     start = np.flatnonzero(keep & np.r_[True, ~keep[:-1]])
-    text_of = doc[start]
-    softly = np.cumsum(~keep & (h[:, 2] == 1))
     end = np.flatnonzero(keep & np.r_[~keep[1:], True])
-    on = (text_of[1:] == text_of[:-1]) & ((softly[start[1:]] > softly[end[:-1]]) | (h[start[1:], 2] == 1))
-    w, k = h[keep, 0], h[keep, 1]
+    text_of = doc[start]
+    flag = h[:, 2].astype(np.int8)
+    on = (text_of[1:] == text_of[:-1]) & ((flag[numbers[end[:-1]]] & _Words.BEYOND > 0) | (flag[numbers[start[1:]]] & _Words.INTO > 0))
+    w, k = h[:, 0][numbers[keep]], h[:, 1][numbers[keep]]
     count = end - start + 1
     first = np.cumsum(count) - count
     joined = np.flatnonzero(on)
@@ -326,14 +370,15 @@ def true_labels(toxic: np.ndarray, votes: np.ndarray, rounds: int = 50) -> np.nd
 def _seeded(words: _Words) -> dict[str, np.ndarray]:
     """The features of each category's seeds: every word seen that begins with one, however it was damaged; in scripts without blanks the signs in a row."""
     out = {}
+    folded = {f: words.rows[i][0] for (w, _), i in words.number.items() if i and (f := words.masked.get(fold(w), fold(w)))}
     for name, seeds in SEEDS.items():
         plain = tuple(fold(x) for x in seeds.split() if not _SIGN.match(x))
-        found = {h[0] for w, h in words.items() if h[0] and words.masked.get(f := fold(w), f).startswith(plain)}
+        found = {h for f, h in folded.items() if f.startswith(plain)}
         for x in seeds.split():
             if _SIGN.match(x):
                 run = 0
                 for c in x:
-                    run = (run * 1_000_003 + words[c][0]) % (1 << 64)
+                    run = (run * 1_000_003 + words.hashes(c)[0]) % (1 << 64)
                 found.add(run)
         out[name] = _mix(np.array(sorted(found), np.uint64))
     return out
@@ -379,54 +424,70 @@ def fit_chain(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, folds: int
     """(the chain, measures of its out-of-fold predictions by link: documents of the class, precision and recall against its own labels)."""
     if not len(texts) or y.sum() < 1:
         return Chain([(np.zeros(1 << BITS, np.float32), np.r_[-8.0, np.zeros(i)]) for i in range(len(CHAIN))], {}), {}
-    words = _Words(unmasking(texts))
-    doc, line, feat = features(texts, words)
+    words = _Words({})
+    numbers, size = words.of(texts)
+    words.complete(unmasking(numbers, size, words))
+    doc, line, feat = features(numbers, size, words)
     data = _Data(doc, line, feat, len(texts))
-    seeds = _seeded(words)
-    extra, links, measures = np.zeros((len(doc), 0)), [], {}
-    bad_line = np.zeros(len(doc), bool)
-    for name in CHAIN:
-        target = y
-        if name in SEEDS:
-            seeded = np.zeros(len(doc), bool)
-            seeded[line[np.isin(feat, seeds[name])]] = True
-            has = np.zeros(len(texts), bool)
-            has[doc[seeded & bad_line]] = True
-            target = y * has
-        w, v = data.fit(target, np.ones(len(texts), bool), extra, epochs)
+    everyone = np.ones(len(texts), bool)
+    links, measures = [], {}
+
+    def link(name: str, data: _Data, target: np.ndarray, extra: np.ndarray) -> np.ndarray:
+        """Fit a link; the scores of its lines out of fold."""
+        w, v = data.fit(target, everyone, extra, epochs)
         out = data.out_of_fold(target, extra, epochs, folds)
         top = data.highest(out)
         v[0] -= (at := operating_point(top, target))
         links.append((w, v))
-        out -= at
         sure = (target < 0.002) | (target > 0.95)
         hit, true = top[sure] >= at, target[sure] > 0.5
         measures[name] = {"documents": int(true.sum()), "precision": float((hit & true).sum() / max(1, hit.sum())), "recall": float((hit & true).sum() / max(1, true.sum()))}
-        if name == CHAIN[0]:
-            # the lines that make a document bad: all that the held-out models find, and its highest
-            best = top - at
-            bad_line = (out >= 0) | ((out >= best[doc] - 1e-9) & (y[doc] > 0.5))
-        extra = np.hstack([extra, _sigmoid(out)[:, None]])
+        return out - at
+
+    out = link(CHAIN[0], data, y, np.zeros((len(doc), 0)))
+    # the lines that make a document bad: all that the held-out models find, and its highest
+    bad_line = (out >= 0) | ((out >= data.highest(out)[doc] - 1e-9) & (y[doc] > 0.5))
+    # the categories' links see the lines that the first doesn't hold for harmless
+    p = _sigmoid(out)
+    gate, place = p >= GATE, np.cumsum(p >= GATE) - 1
+    seen = gate[line]
+    near, bad_line, seeds = _Data(doc[gate], place[line[seen]], feat[seen], len(texts)), bad_line[gate], _seeded(words)
+    extra = p[gate][:, None]
+    for name in SEEDS:
+        seeded, has = np.zeros(len(near.doc), bool), np.zeros(len(texts), bool)
+        seeded[near.line[np.isin(near.feat, seeds[name])]] = True
+        has[near.doc[seeded & bad_line]] = True
+        extra = np.hstack([extra, _sigmoid(link(name, near, y * has, extra))[:, None]])
+    all_ = np.zeros((len(doc), extra.shape[1]))
+    all_[:, 0], all_[gate] = p, extra
+    link(CHAIN[-1], data, y, all_)
     return Chain(links, words.masked), measures
 
 
 def score_texts(chain: Chain, texts: list[str | None], words: _Words | None = None) -> np.ndarray:
-    """The probability of each link for each text, that of its highest line: an array [text, link]. A text without words has 0."""
-    doc, line, feat = features(texts, words if words is not None else _Words(chain.masked))
-    extra = np.zeros((len(doc), 0))
+    """The probability of each link for each text, that of its highest line: an array [text, link]. A text without words has 0.
+
+    Lines to which the first link gives less than GATE have 0 in the categories' links.
+    """
+    words = words if words is not None else _Words(chain.masked)
+    doc, line, feat = features(*words.of(texts), words)
     out = np.zeros((len(texts), len(chain.links)))
     if not len(doc):
         return out
-    # most features have no weight in any link, and most lines no such feature
-    some = np.zeros(1 << BITS, bool)
-    for w, _ in chain.links:
-        some |= w != 0
-    real = some[feat]
-    line, feat = line[real], feat[real]
-    for i, (w, v) in enumerate(chain.links):
-        p = _sigmoid(line_scores(line, w[feat], len(doc), v, extra))
-        np.maximum.at(out[:, i], doc, p)
-        extra = np.hstack([extra, p[:, None]])
+    (w, v), none = chain.links[0], np.zeros((len(doc), 0))
+    p = _sigmoid(line_scores(line, w[feat], len(doc), v, none))
+    np.maximum.at(out[:, 0], doc, p)
+    gate, place = p >= GATE, np.cumsum(p >= GATE) - 1
+    seen = gate[line]
+    near, near_feat, extra = place[line[seen]], feat[seen], p[gate][:, None]
+    for i, (w, v) in enumerate(chain.links[1:-1], 1):
+        q = _sigmoid(line_scores(near, w[near_feat], len(extra), v, extra))
+        np.maximum.at(out[:, i], doc[gate], q)
+        extra = np.hstack([extra, q[:, None]])
+    all_ = np.zeros((len(doc), extra.shape[1]))
+    all_[:, 0], all_[gate] = p, extra
+    w, v = chain.links[-1]
+    np.maximum.at(out[:, -1], doc, _sigmoid(line_scores(line, w[feat], len(doc), v, all_)))
     return out
 
 
