@@ -1,84 +1,54 @@
 """Grouping records into similarity clusters by power-iteration spectral clustering.
 
-1. Sparse affinities: links of similarity ``least`` or more, weighted by the cosine. Within each bounded group a forest of links stands for all of
-   them (see ``kernels.links``), so a hot set of g mutually similar records costs g edges.
-2. Several start vectors, drawn from the hash of the id, are multiplied again and again by the normalised affinities (half a step of the
-   random walk, half staying). They approach the eigenvectors of the eigenvalue 1, which are constant on each linked set.
-3. k-means clusters the rows of this embedding in each collection. Its first centres are the occupied cells of a grid, for there
-   may be millions of clusters; Lloyd's step assigns each row to the nearest centre of its own and the neighbouring cells.
-4. An exact check follows: parts of a k-means cluster that no link joins are parted, and clusters that a link joins are merged.
+1. Records meet in groups of bounded size (see ``vectors.groups``). Sparse affinities of a group: links of similarity ``least`` or more, weighted by the cosine,
+   of which a hot set of g mutually similar records takes a few times g.
+2. Several vectors, one entry a record, are multiplied by the normalised affinities (half a step of the random walk, half staying), all groups
+   at once, until the clusters no longer change. They approach the eigenvectors of the eigenvalue 1, which are constant on each linked set.
+3. k-means clusters the rows of this embedding, with as many centres as it has clumps.
+4. An exact check follows (see ``kernels.spectral_sets``): clusters that links join are merged, clusters that links don't hold together are parted; ``spectral_report``
+   tells how many clusters were right as they stood. Clusters of several groups that share a record are one.
 5. Members are ranked by their internal affinity, the mean cosine to the other members, computed from the sum of the unit vectors.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import materialize
-from .kernels import links, matrix
+from .kernels import k_means, matrix, spectral_sets
 from .vectors import BLOCK_ROWS, groups, usable_vectors
 
-VECTORS, STEPS, STEPS_A_TABLE = 4, 8, 4
-#: Side of a grid cell of the k-means' first centres.
-GRID = 0.02
 
+def group_clusters(u: DataFrame, least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``collection, id, low`` of each record that is linked to another in one of its groups: the smallest id of its cluster there."""
 
-def affinities(u: DataFrame, least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``collection, root, parent, child, w``: a forest of links of each group, whose roots are the smallest ids of its linked sets."""
-
-    def join(table: pa.Table) -> pa.Table:
+    def cluster(table: pa.Table) -> pa.Table:
         table = table.take(pc.sort_indices(table["id"]))
-        root, parent, child, w = links(matrix(table["data"]), least)
+        root, _ = spectral_sets(matrix(table["data"]), least)
+        at = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
         ids, name = table["id"].combine_chunks(), table["collection"].combine_chunks()
-        take = lambda rows: ids.take(pa.array(rows))
-        return pa.table({"collection": name.take(pa.array(root)), "root": take(root), "parent": take(parent), "child": take(child), "w": pa.array(w)})
-
-    g = groups(u.select("collection", "id", "data"), least, block_rows)
-    return g.groupBy("collection", "tab", "cell", "a", "b").applyInArrow(join, "collection string, root binary, parent binary, child binary, w double")
-
-
-def _start(i: int) -> Column:
-    return (F.pmod(F.xxhash64(F.lit(i), "node"), F.lit(1 << 40)) / (1 << 40) - 0.5).cast("float")
-
-
-def node(collection: str, id_: str) -> Column:
-    """A record as one number. Should two records ever share it they share a place in the embedding, which the exact check parts again."""
-    return F.xxhash64(collection, id_)
-
-
-def embedding(edges: DataFrame, vectors: int = VECTORS, steps: int = STEPS) -> DataFrame:
-    """``node, x0, x1, ...`` of every linked record after ``steps`` steps of the power iteration."""
-    xs = [f"x{i}" for i in range(vectors)]
-    e = edges.select(node("collection", "parent").alias("p"), node("collection", "child").alias("c"), F.col("w").cast("float").alias("w"))
-    both = e.select(F.explode(F.array(F.struct(F.col("p").alias("src"), F.col("c").alias("node")), F.struct(F.col("c").alias("src"), F.col("p").alias("node")))).alias("e"), "w")
-    both = both.select("e.*", "w").groupBy("src", "node").agg(F.max("w").alias("w"))
-    # rows of the normalised affinities: half of the weight stays
-    degree = both.groupBy("node").agg(F.sum("w").alias("degree"))
-    walk = materialize(both.join(degree, "node").select("src", "node", (F.col("w") / F.col("degree") / 2).cast("float").alias("w")), "walk")
-    x = degree.select("node", *(_start(i).alias(c) for i, c in enumerate(xs)))
-    for step in range(1, steps + 1):
-        moved = walk.join(x.withColumnRenamed("node", "src"), "src").select("node", *((F.col(c) * F.col("w")).alias(c) for c in xs))
-        stay = x.select("node", *((F.col(c) / 2).cast("float").alias(c) for c in xs))
-        x = moved.unionByName(stay).groupBy("node").agg(*(F.sum(c).cast("float").alias(c) for c in xs))
-        if step % STEPS_A_TABLE == 0 or step == steps:
-            x = materialize(x, "embedding")
-    return x
-
-
-def k_means(x: DataFrame, grid: float = GRID) -> DataFrame:
-    """``collection, id, cluster`` by one Lloyd step from grid-seeded centres; a cluster is named by its cell."""
-    xs = [c for c in x.columns if c.startswith("x")]
-    cell = x.withColumn("cell", F.array(*(F.round(F.col(c) / grid).cast("bigint") for c in xs)))
-    centres = cell.groupBy("collection", "cell").agg(*(F.avg(c).alias(f"c{c}") for c in xs))
-    # a row's candidates: its own cell, and the one next to it across the nearer side of its most off-centre coordinate
-    off = [F.col(c) / grid - F.round(F.col(c) / grid) for c in xs]
-    most = F.greatest(*(F.abs(o) for o in off))
-    near = F.array(*((F.round(F.col(c) / grid) + F.when(F.abs(o) == most, F.signum(o)).otherwise(0)).cast("bigint") for c, o in zip(xs, off, strict=True)))
-    asked = cell.select("collection", "id", *xs, F.explode(F.array_distinct(F.array("cell", near))).alias("cell"))
-    far = sum(((F.col(c) - F.col(f"c{c}")) ** 2 for c in xs), F.lit(0.0))
-    return asked.join(centres, ["collection", "cell"]).groupBy("collection", "id").agg(F.min_by("cell", F.struct(far, F.col("cell"))).alias("cluster"))
+        return pa.table({"collection": name.take(pa.array(at)), "id": ids.take(pa.array(at)), "low": ids.take(pa.array(root[at]))})
+
+    g = groups(u.select("collection", "id", "data"), block_rows)
+    return g.groupBy("collection", "cell", "a", "b").applyInArrow(cluster, "collection string, id binary, low binary")
+
+
+def spectral_report(vectors: DataFrame, least: float = 0.86, dims: int = 64, block_rows: int = BLOCK_ROWS, cluster=k_means) -> DataFrame:
+    """``collection, sets, right, parted, across`` summed over the groups: what the exact check finds (see ``kernels.spectral_sets``)."""
+    names = ("sets", "right", "parted", "across")
+
+    def look(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table["id"]))
+        _, m = spectral_sets(matrix(table["data"]), least, cluster)
+        return pa.table({"collection": table["collection"].combine_chunks()[:1], **{n: pa.array([m[n]], pa.int64()) for n in names}})
+
+    u = materialize(usable_vectors(vectors, dims), "usable")
+    g = groups(u.select("collection", "id", "data"), block_rows)
+    found = g.groupBy("collection", "cell", "a", "b").applyInArrow(look, "collection string, " + ", ".join(f"{n} bigint" for n in names))
+    return found.groupBy("collection").agg(*(F.sum(n).alias(n) for n in names))
 
 
 def connect(edges: DataFrame, label: str) -> DataFrame:
@@ -111,21 +81,14 @@ def similarity_clusters(vectors: DataFrame, least: float = 0.86, dims: int = 64,
     smallest id. Records with unusable data are left out; an empty table gives no rows.
     """
     u = materialize(usable_vectors(vectors, dims), "usable")
-    edges = materialize(affinities(u, least, block_rows), "affinities")
-    # exact check, splits: the part of a cluster is what hangs on one root; each record takes its smallest root
-    own = edges.select("collection", F.explode(F.array(F.struct(F.col("child").alias("id"), "root"), F.struct(F.col("root").alias("id"), "root"))).alias("r")).select("collection", "r.*")
-    own = own.groupBy("collection", "id").agg(F.min("root").alias("root"))
+    own = group_clusters(u, least, block_rows).groupBy("collection", "id").agg(F.min("low").alias("low"), F.collect_set("low").alias("lows"))
     own = materialize(own, "own")
-    clusters = k_means(embedding(edges).join(own.select("collection", "id", node("collection", "id").alias("node")), "node").drop("node"))
-    part = materialize(clusters.join(own, ["collection", "id"]).select("collection", "id", F.struct("cluster", "root").alias("part")), "parts")
-    names = materialize(part.groupBy("collection", "part").agg(F.min("id").alias("low")), "names")
-    named = part.join(names, ["collection", "part"]).select("collection", "id", "low")
-    # exact check, merges: links between parts
-    p, c = named.select("collection", F.col("id").alias("parent"), F.col("low").alias("pl")), named.select("collection", F.col("id").alias("child"), F.col("low").alias("cl"))
-    across = edges.select("collection", "parent", "child").join(p, ["collection", "parent"]).join(c, ["collection", "child"]).where("pl != cl")
-    key = lambda x: F.struct("collection", F.col(x).alias("id"))
-    merged = connect(across.select(key("pl").alias("a"), key("cl").alias("b")), "merge")
-    final = named.join(merged.select(F.col("node.collection").alias("collection"), F.col("node.id").alias("low"), F.col("low.id").alias("to")), ["collection", "low"], "left")
+    # a record's groups are few (see ``groups``), and where they name its cluster differently the clusters are one
+    key = lambda c: F.struct("collection", F.col(c).alias("id"))
+    apart = own.where(F.size("lows") > 1).select("collection", "low", F.explode("lows").alias("other")).where("low != other").distinct()
+    merged = connect(apart.select(key("low").alias("a"), key("other").alias("b")), "merge")
+    merged = merged.select(F.col("node.collection").alias("collection"), F.col("node.id").alias("low"), F.col("low.id").alias("to"))
+    final = own.select("collection", "id", "low").join(merged, ["collection", "low"], "left")
     return final.select("collection", "id", F.coalesce("to", "low").alias("cluster_id")), u
 
 

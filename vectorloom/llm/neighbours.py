@@ -38,14 +38,14 @@ def similar_vectors(vectors: DataFrame, k: int = 5, least: float = 0.86, dims: i
 
     def search(table: pa.Table) -> pa.Table:
         table = table.take(pc.sort_indices(table["id"]))
-        seed = table["tab"][0].as_py() if len(table) else 0  # each table of the groups draws its own projections
+        seed = table["cell"][0].as_py() if len(table) else 0  # each cell draws its own projections, so a pair that one misses is tried anew in the next
         q, o, s = nearest(matrix(table["data"]), k, least, seed)
         ids = table["id"].combine_chunks()
         name = table["collection"].combine_chunks()
         return pa.table({"collection": name.take(pa.array(q)), "id": ids.take(pa.array(q)), "other": ids.take(pa.array(o)), "similarity": pa.array(s)})
 
-    g = groups(u.select("collection", "id", "data"), least, block_rows)
-    found = g.groupBy("collection", "tab", "cell", "a", "b").applyInArrow(search, "collection string, id binary, other binary, similarity double")
+    g = groups(u.select("collection", "id", "data"), block_rows)
+    found = g.groupBy("collection", "cell", "a", "b").applyInArrow(search, "collection string, id binary, other binary, similarity double")
     best = found.dropDuplicates(["collection", "id", "other"])
     order = W.partitionBy("collection", "id").orderBy(F.desc("similarity"), "other")
     best = best.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ids import plain_uuid
 from ..session import materialize
-from .kernels import MISS, SEED, matrix, share
+from .kernels import SEED, matrix, nearest_centres, spread
 
 #: Rows of one block of a group. A group is one or two blocks.
 BLOCK_ROWS = 32_768
-#: Collections of up to so many blocks are compared block with block; larger ones are cut by random hyperplanes first.
-WHOLE_BLOCKS = 4
+#: Beyond so many coarse cells of a collection (some 100 million rows), cells grow instead.
+MOST_CELLS = 4096
 
 
 def pack_id(c: Column) -> Column:
@@ -46,52 +44,51 @@ def usable_vectors(vectors: DataFrame, dims: int = 64, *extra: str) -> DataFrame
     return last.select("collection", "id", "r.*")
 
 
-def groups(u: DataFrame, least: float, block_rows: int = BLOCK_ROWS, whole_blocks: int = WHOLE_BLOCKS) -> DataFrame:
-    """``u`` with the key ``collection, tab, cell, a, b`` of each group a row belongs to. ``u`` must be cheap to read again.
+def cells_for(n: Column, block_rows: int) -> Column:
+    """Into how many coarse cells a collection of ``n`` rows is cut: as many as need the fewest copies of a row, at most MOST_CELLS.
+
+    With C cells a row is in ``spread(C)`` of them, and in each of those in a group with every other block of the cell.
+    """
+    blocks = lambda c: F.ceil(n * (spread(c) / c / block_rows))
+    copies = lambda c: F.greatest(F.lit(1).cast("bigint"), blocks(c) - 1) * spread(c)
+    return F.array_min(F.array(*(F.struct(copies(1 << i).alias("copies"), F.lit(1 << i).alias("cells")) for i in range(MOST_CELLS.bit_length()))))["cells"]
+
+
+def groups(u: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``u`` with the key ``collection, cell, a, b`` of each group a row belongs to. ``u`` must be cheap to read again.
 
-    A collection of up to ``whole_blocks`` blocks is one cell. A larger one is cut by ``bits`` random hyperplanes into cells of about a block, in as
-    many tables as it takes that a pair at the least similarity misses all with probability MISS. A cell that holds more than a
-    block, as one with a hot set of similar rows does, is cut into blocks by the hash of the id, and each two blocks form a
-    group: no row is dropped, and no group holds more than about two blocks.
+    A row is in the coarse cells whose random directions it is most similar to, as many as it takes that a pair at a similarity of 0.86 has one in common but
+    for 0.4 % (see ``kernels.spread``). A cell of more than a block is cut into blocks by the hash of the id, and each two blocks form a
+    group: no row is dropped, and no group holds more than about two blocks. The number of cells follows from the collection's size by one formula;
+    a small collection has one, and each copy of a row goes through one shuffle.
     """
     counts = u.groupBy("collection").agg(F.count("*").alias("n"))
-    most = counts.agg(F.max("n")).first()[0] or 0
-    if most <= block_rows:
-        return u.select("*", *(F.lit(0).alias(c) for c in ("tab", "cell", "a", "b")))
-    p = share(least)
-    bits = F.when(F.col("n") <= block_rows * whole_blocks, 0).otherwise(F.ceil(F.log2(F.col("n") / block_rows))).cast("int")
-    rows = u.join(counts.select("collection", bits.alias("bits")), "collection")
-    if most <= block_rows * whole_blocks:
-        rows = rows.drop("bits").select("*", F.lit(0).alias("tab"), F.lit(0).alias("cell"))
-    else:
-        rows = materialize(_cut(rows, p), "cells")
-    sizes = rows.groupBy("collection", "tab", "cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("m"))
-    rows = rows.join(sizes, ["collection", "tab", "cell"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
+    rows = u.join(counts.select("collection", cells_for(F.col("n"), block_rows).alias("cells")), "collection")
+    # the cells are found twice, which costs less than to write each copy of each vector
+    sizes = _cut(rows.select("collection", "data", "cells")).groupBy("collection", "cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("m"))
+    sizes = materialize(sizes, "cells")
+    rows = _cut(rows).join(sizes, ["collection", "cell"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
     others = F.when(F.col("m") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("m") - 1), lambda b: b != F.col("own")))
     rows = rows.withColumn("o", F.explode(others))
-    return rows.select(*u.columns, "tab", "cell", F.least("own", "o").alias("a"), F.greatest("own", "o").alias("b"))
+    return rows.select(*u.columns, "cell", F.least("own", "o").alias("a"), F.greatest("own", "o").alias("b"))
 
 
-def _cut(rows: DataFrame, p: float) -> DataFrame:
-    kept = [c for c in rows.columns if c != "bits"]
-    schema = rows.select(*kept, F.lit(0).alias("tab"), F.lit(0).alias("cell")).schema
+def _cut(rows: DataFrame) -> DataFrame:
+    """The rows, once for each coarse cell; without an id only the collection and the cell."""
+    kept = [c for c in rows.columns if c != "cells"] if "id" in rows.columns else ["collection"]
+    schema = rows.select(*kept, F.lit(0).alias("cell")).schema
 
     def cut(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t = pa.Table.from_batches([batch])
-            x, bits = matrix(t["data"]), t["bits"].to_numpy()
+            t, cells = pa.Table.from_batches([batch]), batch["cells"].to_numpy()
+            x = matrix(t["data"]).astype(np.float32) if cells.max() > 1 else None
             t = t.select(kept)
-            for b in np.unique(bits):
-                at = np.flatnonzero(bits == b)
-                part, xs = t.take(pa.array(at)), x[at]
-                tables = 1 if b == 0 else math.ceil(math.log(MISS) / math.log(1 - p**b))
-                rng = np.random.default_rng(SEED + 7 + int(b))
-                for k in range(tables):
-                    side = xs @ rng.standard_normal((x.shape[1], int(b))) > 0 if b else np.zeros((len(at), 0), bool)
-                    cell = (side @ (1 << np.arange(int(b)))).astype(np.int32) if b else np.zeros(len(at), np.int32)
-                    out = part.append_column("tab", pa.array(np.full(len(at), k, np.int32))).append_column("cell", pa.array(cell))
-                    yield from out.to_batches()
+            for c in np.unique(cells):
+                at = np.flatnonzero(cells == c)
+                top = nearest_centres(x[at], int(c), SEED + 7) if c > 1 else np.zeros((len(at), 1), np.int32)
+                out = t.take(pa.array(np.repeat(at, top.shape[1])))
+                yield from out.append_column("cell", pa.array(top.ravel())).to_batches()
 
     return rows.mapInArrow(cut, schema)
