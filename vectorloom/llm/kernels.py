@@ -10,8 +10,8 @@ import pyarrow as pa
 SEED = 20_261
 #: About so many rows for each coarse cell of a group, before every row is put into several.
 CELL = 32
-#: Projections, and how many must collide: at the least similarity a pair passes with 0.997, two random vectors with 0.04.
-PROJECTIONS, COLLISIONS = 16, 13
+#: Projections, and how many must collide: at the least similarity a pair passes with 0.9998, two random vectors with 0.11.
+PROJECTIONS, COLLISIONS = 16, 12
 #: Half a window in standard deviations of the difference that two vectors at the window's distance have in a projection.
 REACH = 2.1
 #: Rows of a block of queries.
