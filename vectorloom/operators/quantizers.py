@@ -115,9 +115,12 @@ class IvfIndex:
         self.rows = spark.read.parquet(path)
         return self
 
+    @staticmethod
+    def nearest_cells(centres: np.ndarray, query: Sequence[float], probe: int) -> list[int]:
+        return [int(i) for i in block_distances(np.asarray([query], np.float64), centres, "euclidean")[0].argsort(kind="stable")[:probe]]
+
     def search(self, query: Sequence[float], k: int = 10, probe: int = 8, by: str = "cosine", where=None) -> DataFrame:
-        near = block_distances(np.asarray([query], np.float64), self.centres, "euclidean")[0].argsort(kind="stable")[:probe]
-        return knn(self.rows.where(F.col("cell").isin([int(i) for i in near])), query, k, by, where, 0, self.c)
+        return knn(self.rows.where(F.col("cell").isin(self.nearest_cells(self.centres, query, probe))), query, k, by, where, 0, self.c)
 
     def search_batch(self, queries: DataFrame, k: int = 10, probe: int = 8, by: str = "cosine", query_id: str = "qid", query_vector: str = "query") -> DataFrame:
         """``qid, id, distance, rank`` of the k nearest rows of each query within the ``probe`` cells nearest to it; queries without a vector have none."""

@@ -1,8 +1,11 @@
 """Collections of vectors in Parquet.
 
-A collection is a folder with ``metadata.json`` (its configuration), generations of rows, and ``current.json``, which names the generations that
-make up the present state. Inserts add a generation; changes write a new one and replace the list, so a reader sees all of a change or nothing of it, and one
-that has begun keeps what it began with.
+A collection is a folder with ``metadata.json`` (its configuration), generations of rows, files of deleted ids, and numbered manifests. A manifest names
+what makes up the state of its number; it is created whole and never overwritten, and the highest number is the present state. So a reader sees all of a
+change or nothing of it, one that has begun keeps what it began with, and of two writers of the same number one finds it taken and tries the next.
+
+Nothing is rewritten by a change. An upsert appends its rows and, as equality deletes, their ids; a delete appends ids. Both carry the number of their manifest:
+a row is live unless its id was deleted with a greater number. ``compact`` folds it all into one generation, sorted by id.
 """
 
 from __future__ import annotations
@@ -13,9 +16,9 @@ import time
 import uuid
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from ..errors import CollectionAlreadyExists, CollectionNotFound, ConfigurationError, Corruption, InvalidInput, NotFound
+from ..errors import CollectionAlreadyExists, CollectionNotFound, ConfigurationError, Corruption, InvalidDimension, InvalidInput, NotFound
 from ..functions.vector import metric
 from ..operators import dml
 from .fs import Files
@@ -70,10 +73,8 @@ class Store:
     def create_collection(self, config: CollectionConfig) -> CollectionConfig:
         config.check()
         d = self._dir(config.name, False)
-        if self.files.exists(d):
+        if self.files.exists(f"{d}/metadata.json") or not self.files.create(f"{d}/metadata.json", json.dumps(asdict(config), indent=2)):
             raise CollectionAlreadyExists(config.name)
-        self._commit(d, [])
-        self.files.write(f"{d}/metadata.json", json.dumps(asdict(config), indent=2))
         return config
 
     def config(self, name: str) -> CollectionConfig:
@@ -83,16 +84,46 @@ class Store:
     def list_collections(self) -> list[str]:
         return [n for n in self.files.children(self.root) if not n.startswith(".") and self.files.exists(f"{self.root}/{n}/metadata.json")]
 
-    def _generations(self, d: str) -> list[str]:
-        return json.loads(self.files.read(f"{d}/current.json"))["generations"]
-
-    def _commit(self, d: str, generations: list[str]) -> None:
-        self.files.write(f"{d}/current.json", json.dumps({"generations": generations, "at": time.time()}))
+    def manifest(self, d: str) -> dict:
+        """The present state: ``number``, ``rows`` and ``deleted`` (name and number of each), ``index``."""
+        there = [x for x in self.files.children(f"{d}/manifests") if re.fullmatch(r"\d{10}\.json", x)]
+        return json.loads(self.files.read(f"{d}/manifests/{there[-1]}")) if there else {"number": 0, "rows": {}, "deleted": {}, "index": None}
+
+    def commit(self, d: str, change) -> dict:
+        """The next state, ``change(the present one, its number)``; made anew from the then present one as long as other writers come first."""
+        while True:
+            old = self.manifest(d)
+            number = old["number"] + 1
+            new = {**change(old, number), "number": number, "at": time.time()}
+            if self.files.create(f"{d}/manifests/{number:010d}.json", json.dumps(new)):
+                return new
+
+    def _scan(self, d: str, names: dict[str, int]) -> DataFrame:
+        """Rows of some generations with their number."""
+        if not names:
+            return self.spark.createDataFrame([], f"{ROWS}, number_ bigint")
+        rows = self.spark.read.schema(ROWS).parquet(*(f"{d}/{n}" for n in names))
+        if len(set(names.values())) == 1:
+            return rows.withColumn("number_", F.lit(next(iter(names.values()))).cast("bigint"))
+        number = F.create_map(*(F.lit(x) for n, k in names.items() for x in (n, k)))
+        return rows.withColumn("number_", F.element_at(number, F.regexp_extract("_metadata.file_path", r"/(gen-[0-9a-f]{32})/", 1)).cast("bigint"))
+
+    def _live(self, d: str, m: dict, names: dict[str, int] | None = None, rows: DataFrame | None = None) -> DataFrame:
+        """The rows that no later delete names. Deletes older than all the rows aren't read."""
+        names = m["rows"] if names is None else names
+        rows = self._scan(d, names) if rows is None else rows
+        late = {n: k for n, k in m["deleted"].items() if k > min(names.values(), default=0)}
+        if late:
+            number = F.create_map(*(F.lit(x) for n, k in late.items() for x in (n, k)))
+            gone = self.spark.read.schema("id string").parquet(*(f"{d}/{n}" for n in late))
+            gone = gone.select("id", F.element_at(number, F.regexp_extract("_metadata.file_path", r"/(del-[0-9a-f]{32})/", 1)).cast("bigint").alias("later_"))
+            gone = gone.groupBy("id").agg(F.max("later_").alias("later_")).withColumnRenamed("id", "gone_")
+            rows = rows.join(gone, (F.col("id") == F.col("gone_")) & (F.col("later_") > F.col("number_")), "left_anti")
+        return rows.drop("number_")
 
     def read(self, name: str) -> DataFrame:
         d = self._dir(name)
-        paths = [f"{d}/{g}" for g in self._generations(d)]
-        return self.spark.read.schema(ROWS).parquet(*paths) if paths else self.spark.createDataFrame([], ROWS)
+        return self._live(d, self.manifest(d))
 
     def stats(self) -> DataFrame:
         """``name, vector_count, dimension, distance_metric, disk_bytes`` of each collection."""
@@ -113,8 +144,9 @@ class Store:
         return rows.select(F.col("id").cast("string").alias("id"), F.col("data").cast("array<float>").alias("data"), meta.cast("string").alias("metadata"))
 
     def _write(self, d: str, rows: DataFrame) -> str:
+        """A generation; sorted by id and with a bloom filter of it, so that a look for one id reads next to nothing."""
         g = f"gen-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{d}/{g}")
+        rows.sortWithinPartitions("id").write.option("parquet.bloom.filter.enabled#id", "true").parquet(f"{d}/{g}")
         return g
 
     def insert(self, name: str, rows: DataFrame) -> int:
@@ -122,45 +154,113 @@ class Store:
         return self.upsert(name, rows)
 
     def upsert(self, name: str, rows: DataFrame) -> int:
+        """Rows are checked and counted while they are written, once; they take part only when the manifest names them. Of a batch's rows of an id one counts."""
         d, c = self._dir(name), self.config(name)
-        rows = self._rows(rows)
-        dml.require_dimension(rows, c.dimension)
-        n = rows.count()
-        if not n:
+        wrong = F.col("data").isNull() | (F.size("data") != c.dimension)
+        seen = Observation()
+        checked = self._rows(rows).observe(seen, F.count("*").alias("n"), F.max(F.when(wrong, F.coalesce(F.size("data"), F.lit(-1)))).alias("wrong"))
+        g = self._write(d, dml.latest(checked, ["id"], F.xxhash64("data", "metadata")))
+        if seen.get["wrong"] is not None or not seen.get["n"]:
+            self.files.delete(f"{d}/{g}")
+            if seen.get["wrong"] is not None:
+                raise InvalidDimension(c.dimension, seen.get["wrong"])
             return 0
-        old = self._generations(d)
-        new = self._write(d, dml.latest(rows, ["id"], F.xxhash64("data", "metadata")))
-        fresh = self.spark.read.schema(ROWS).parquet(f"{d}/{new}").select("id")
-        base = self.read(name)
-        if not old or base.join(fresh, "id", "left_semi").isEmpty():
-            self._commit(d, [*old, new])
-        else:
-            self._commit(d, [self._write(d, base.join(fresh, "id", "left_anti")), new])
-        return n
+        keys = None
+        if self.manifest(d)["rows"]:
+            keys = f"del-{uuid.uuid4().hex}"
+            self.spark.read.schema(ROWS).parquet(f"{d}/{g}").select("id").write.parquet(f"{d}/{keys}")
+
+        def change(m: dict, number: int) -> dict:
+            nonlocal keys
+            if m["rows"] and keys is None:  # another writer came first
+                keys = f"del-{uuid.uuid4().hex}"
+                self.spark.read.schema(ROWS).parquet(f"{d}/{g}").select("id").write.parquet(f"{d}/{keys}")
+            return {**m, "rows": {**m["rows"], g: number}, "deleted": {**m["deleted"], **({keys: number} if keys else {})}}
+
+        self.commit(d, change)
+        return seen.get["n"]
 
     update = batch_upsert = batch_insert = upsert
 
     def delete(self, name: str, ids: DataFrame) -> int:
-        """Delete ids; how many of them there were."""
+        """Delete ids; how many of them there were. Only the ids are written."""
         d = self._dir(name)
-        stay, gone = dml.delete(self.read(name), ids)
-        n = gone.count()
-        if n:
-            self._commit(d, [self._write(d, stay)])
-        return n
+        keys, seen = f"del-{uuid.uuid4().hex}", Observation()
+        there = self.read(name).select("id").join(ids.select(F.col("id").cast("string").alias("id")), "id", "left_semi").distinct()
+        there.observe(seen, F.count("*").alias("n")).write.parquet(f"{d}/{keys}")
+        if seen.get["n"]:
+            self.commit(d, lambda m, number: {**m, "deleted": {**m["deleted"], keys: number}})
+        else:
+            self.files.delete(f"{d}/{keys}")
+        return seen.get["n"]
 
     def get(self, name: str, id_: str) -> DataFrame:
-        return self.read(name).where(F.col("id") == id_)
+        """The rows of one id; sorted generations and their bloom filters let the scan skip the rest."""
+        d = self._dir(name)
+        m = self.manifest(d)
+        return self._live(d, m, rows=self._scan(d, m["rows"]).where(F.col("id") == id_)).where(F.col("id") == id_)
 
     def compact(self, name: str, files: int | None = None) -> None:
-        """One generation, and only that left on disk."""
-        d, rows = self._dir(name), self.read(name)
-        g = self._write(d, rows.repartition(files) if files else rows)
-        self._commit(d, [g])
+        """Fold rows and deletes into one generation in ranges of ids. Changes that are committed meanwhile stay as they are; what no manifest names any more is deleted."""
+        d = self._dir(name)
+        base = self.manifest(d)
+        rows = self._live(d, base)
+        g = self._write(d, rows.repartitionByRange(files, "id") if files else rows.repartitionByRange("id"))
+        later = lambda names: {n: k for n, k in names.items() if k > base["number"]}
+        new = self.commit(d, lambda m, _: {**m, "rows": {g: base["number"], **later(m["rows"])}, "deleted": later(m["deleted"])})
+        used = {*new["rows"], *new["deleted"], (new["index"] or {}).get("name")}
+        old = {*base["rows"], *base["deleted"]}
         for x in self.files.children(d):
-            if x.startswith("gen-") and x != g:
+            if x in old - used:
                 self.files.delete(f"{d}/{x}")
 
+    # the index
+
+    def build_index(self, name: str, cells: int | None = None) -> dict:
+        """An inverted-file index that the collection owns: its live rows by coarse cell, built from storage, replacing an older one.
+
+        It holds the state of its manifest; ``search_index`` adds what was written later. Without ``cells`` there are about as many as the square root of the rows, 4,096 at most.
+        """
+        from ..operators.quantizers import IvfIndex
+
+        d = self._dir(name)
+        m = self.manifest(d)
+        rows = self._live(d, m)
+        n = rows.count()
+        cells = cells or int(min(4096, max(1, round(n**0.5))))
+        label = f"idx-{uuid.uuid4().hex}"
+        index = IvfIndex.build(rows, cells).save(f"{d}/{label}") if n else None
+        info = {"name": label, "number": m["number"], "centres": index.centres.tolist() if index else [], "rows": n}
+        self.commit(d, lambda now, _: {**now, "index": info})
+        return info
+
+    def search_index(self, name: str, query, k: int = 10, probe: int | None = None, where=None) -> DataFrame:
+        """``id, distance, metadata`` of the k nearest rows in the ``probe`` nearest cells and among the rows written since the index was built.
+
+        ``probe`` defaults to the share ef_search / ef_construction of the cells (a quarter by default).
+        """
+        import math
+
+        import numpy as np
+
+        from ..operators.quantizers import IvfIndex
+        from ..operators.search import knn
+
+        d, c = self._dir(name), self.config(name)
+        m = self.manifest(d)
+        index = m["index"]
+        if not index:
+            raise NotFound(f"{name} has no index")
+        later = {n: k for n, k in m["rows"].items() if k > index["number"]}
+        rows = self._live(d, m, later)
+        if index["rows"]:
+            centres = np.array(index["centres"])
+            probe = probe or max(1, math.ceil(len(centres) * min(1, c.index_config.ef_search / c.index_config.ef_construction)))
+            near = self.spark.read.schema(f"{ROWS}, cell int").parquet(f"{d}/{index['name']}").where(F.col("cell").isin(IvfIndex.nearest_cells(centres, query, probe)))
+            near = self._live(d, m, {index["name"]: index["number"]}, near.drop("cell").withColumn("number_", F.lit(index["number"]).cast("bigint")))
+            rows = near.unionByName(rows)
+        return knn(rows, query, k, c.distance_metric, where)
+
     # deleting, backups
 
     def delete_collection(self, name: str) -> str:
@@ -212,6 +312,38 @@ class Store:
         self.create_collection(config)
         return self.insert(config.name, self.spark.read.parquet(path))
 
+    def import_orphaned(self, path: str, name: str | None = None, config: CollectionConfig | None = None) -> str:
+        """Adopt a folder that the catalog doesn't know: under its own configuration if it has one, else the given one, or one of the rows' dimension.
+
+        A folder with manifests is taken as it is; one of bare Parquet files is read and inserted.
+        """
+        if self.files.exists(f"{path}/manifests"):
+            return self.restore(path, name)
+        if self.files.exists(f"{path}/metadata.json"):
+            c = json.loads(self.files.read(f"{path}/metadata.json"))
+            config = CollectionConfig(**{**c, "index_config": IndexConfig(**c["index_config"])})
+        rows = self.spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
+        if config is None:
+            first = rows.where(F.size("data") > 0).select(F.size("data")).first()
+            if first is None:
+                raise InvalidInput(f"{path} holds no vectors")
+            config = CollectionConfig(path.rstrip("/").rsplit("/", 1)[-1], first[0])
+        config.name = name or config.name
+        self.create_collection(config)
+        self.insert(config.name, rows)
+        return config.name
+
+    def migrate(self, name: str, to: str, convert) -> int:
+        """Rewrite a collection's rows in another form, as a new collection: ``convert(rows)`` gives (rows, configuration); the rows' number is checked."""
+        rows, config = convert(self.read(name), self.config(name))
+        config.name = to
+        self.create_collection(config)
+        n = self.insert(to, rows)
+        if n != self.read(name).count():
+            self.hard_delete_collection(to)
+            raise Corruption(f"{name} has another number of rows than its new form")
+        return n
+
     def check(self, name: str) -> DataFrame:
         return dml.consistency(self.read(name), self.config(name).dimension)
 
@@ -256,7 +388,8 @@ class Store:
         config = CollectionConfig(**{**c, "name": name or c["name"], "index_config": IndexConfig(**c["index_config"])})
         self.create_collection(config)
         d = self._dir(config.name)
-        self._commit(d, [self._write(d, rows)])
+        g = self._write(d, rows)
+        self.commit(d, lambda m, number: {**m, "rows": {**m["rows"], g: number}})
         return config.name
 
     def cleanup_snapshots(self, keep: int, collection: str | None = None) -> int:
