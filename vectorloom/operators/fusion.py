@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 RRF_K = 60
 
 
-def _scaled(df: DataFrame, lo, hi, name: str) -> DataFrame:
-    """Scores from 0 to 1 between two bounds; 0.5 where the bounds meet. The bounds are aggregated, not windowed, so nothing meets in one task."""
-    bounds = df.agg(lo.alias("lo"), hi.alias("hi"))
+def _scaled(df: DataFrame, bounds, name: str) -> DataFrame:
+    """Scores from 0 to 1 between two bounds; 0.5 where the bounds meet. The lists are top-k results, so the bounds come from a window over them: each list is evaluated once."""
+    lo, hi = bounds(W.partitionBy(F.lit(0)))
     scaled = F.when(F.col("hi") == F.col("lo"), F.lit(0.5)).otherwise((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")))
-    return df.crossJoin(F.broadcast(bounds)).select("id", scaled.alias(name))
+    return df.select("id", "score", lo.alias("lo"), hi.alias("hi")).select("id", scaled.alias(name))
 
 
 def _both(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -20,16 +20,19 @@ def _both(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def relative_score(dense: DataFrame, sparse: DataFrame) -> DataFrame:
     """The mean of both lists' scores scaled by their least and greatest; an id of one list keeps that list's score."""
-    lo, hi = F.min("score"), F.max("score")
-    return _both(_scaled(dense, lo, hi, "a"), _scaled(sparse, lo, hi, "b"))
+    bounds = lambda w: (F.min("score").over(w), F.max("score").over(w))
+    return _both(_scaled(dense, bounds, "a"), _scaled(sparse, bounds, "b"))
 
 
 def distribution_based(dense: DataFrame, sparse: DataFrame, deviations: float | None = None) -> DataFrame:
     """As ``relative_score``; with ``deviations`` the bounds are the mean plus and minus so many standard deviations."""
     if deviations is None:
         return relative_score(dense, sparse)
-    lo, hi = F.avg("score") - deviations * F.stddev_pop("score"), F.avg("score") + deviations * F.stddev_pop("score")
-    return _both(_scaled(dense, lo, hi, "a"), _scaled(sparse, lo, hi, "b"))
+    def bounds(w):
+        mean, spread = F.avg("score").over(w), F.stddev_pop("score").over(w)
+        return mean - deviations * spread, mean + deviations * spread
+
+    return _both(_scaled(dense, bounds, "a"), _scaled(sparse, bounds, "b"))
 
 
 def reciprocal_rank(*lists: DataFrame, k: int = RRF_K) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..errors import ConfigurationError, InvalidDimension, InvalidInput
 from ..functions.vector import metric
-from .search import Columns, block_distances, knn, query_blocks
+from .search import Columns, block_distances, k_nearest, knn, query_blocks
 
 #: Rows from which codebooks and cells are learned, those of the smallest hash of their id.
 TRAIN_ROWS = 10_000
@@ -169,8 +169,9 @@ class IvfIndex:
                     parts = []
                     for cell, rows in pdf.sort_values("id", kind="stable").groupby("cell"):  # sorted, so that ties go to the smaller id
                         ask = np.flatnonzero(probed[:, cell])
-                        d = block_distances(q[ask], np.stack(rows["data"].to_numpy()).astype(np.float64), name)
-                        top = np.argsort(d, axis=1, kind="stable")[:, :k]
+                        x = np.stack(rows["data"].to_numpy()).astype(np.float64)
+                        d = block_distances(q[ask], x, name)
+                        top = k_nearest(d, k)
                         parts.append(pd.DataFrame({"at": np.repeat(ask, top.shape[1]), "id": rows["id"].to_numpy()[top].ravel(), "cell": cell, "distance": np.take_along_axis(d, top, 1).ravel()}))
                     if parts:
                         best = pd.concat(parts).sort_values(["at", "distance", "id"]).groupby("at").head(k)

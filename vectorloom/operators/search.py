@@ -14,11 +14,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..errors import InvalidDimension, InvalidInput, NotFound
-from ..functions.vector import discovery_vector, distance, metric, recommend_vector
+from ..functions import quantize as z
+from ..functions.vector import discovery_vector, distance, metric, recommend_vector, vector
 from ..plans.filters import compile_filter
 
-#: Rows of queries in one block of a batch search; more queries run as several passes over blocks, each of this bounded size.
-QUERY_BLOCK = 4096
+#: Queries that are sent to every task at once (16 MB at 64 dimensions); more of them run as several passes, each of this bounded size.
+QUERY_BLOCK = 32_768
+#: Queries that a task multiplies with a batch of rows at a time.
+QUERY_ROWS = 256
+#: Rows of the smaller side of a matrix of all distances.
+MATRIX_ROWS = 4096
 
 
 @dataclass(frozen=True)
@@ -52,20 +57,40 @@ def knn_postfilter(df: DataFrame, query: Sequence[float], k: int, where: dict |
 
 
 def query_blocks(queries: DataFrame, query_id: str, query_vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The ids and vectors of the queries, about QUERY_BLOCK at a time."""
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    numbered = queries.select(F.col(query_id).alias("qid"), F.col(query_vector).cast("array<double>").alias("q"), F.pmod(F.xxhash64(query_id), F.lit(blocks)).alias("block"))
+    """The ids and vectors of the queries, about QUERY_BLOCK at a time; as many as fit one block are fetched by one job."""
+    asked = queries.select(F.col(query_id).alias("qid"), F.col(query_vector).cast("array<double>").alias("q"))
+    first = asked.limit(QUERY_BLOCK + 1).toPandas()
+    if len(first) <= QUERY_BLOCK:
+        if len(first):
+            yield first["qid"].to_numpy(), np.stack(first["q"].to_numpy())
+        return
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    numbered = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
     for b in range(blocks):
         block = numbered.where(F.col("block") == b).toPandas()
         if len(block):
             yield block["qid"].to_numpy(), np.stack(block["q"].to_numpy())
 
 
+def k_nearest(d: np.ndarray, k: int) -> np.ndarray:
+    """For each row of distances the places of the k least, least first, ties to the smaller place."""
+    if k >= d.shape[1]:
+        return np.argsort(d, axis=1, kind="stable")
+    if k < 1:
+        return np.empty((len(d), 0), np.int64)
+    # places of what is less than the k-th least, and of as many that equal it as there is room for, the smaller first
+    kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    less, equal = d < kth, d == kth
+    take = less | (equal & (np.cumsum(equal, axis=1) <= k - less.sum(axis=1, keepdims=True)))
+    top = np.nonzero(take)[1].reshape(len(d), k)
+    return np.take_along_axis(top, np.argsort(np.take_along_axis(d, top, 1), axis=1, kind="stable"), 1)
+
+
 def batch_knn(df: DataFrame, queries: DataFrame, k: int = 10, by: str = "cosine", c: Columns = Columns(), query_id: str = "qid", query_vector: str = "query") -> DataFrame:
     """``qid, id, distance, rank`` of the k nearest rows of each query.
 
-    The queries are taken in blocks of QUERY_BLOCK; a block, of bounded size, is sent to every task, which multiplies it with its rows and keeps k
-    rows of each query; only those are shuffled.
+    The queries are taken in blocks of QUERY_BLOCK; a block, of bounded size, is sent to every task, which multiplies it, some hundred queries at a time, with
+    its rows and keeps k rows of each query; only those are shuffled. The rows are scanned once for each block.
     """
     spark = df.sparkSession
     name = metric(by)
@@ -83,12 +108,13 @@ def batch_knn(df: DataFrame, queries: DataFrame, k: int = 10, by: str = "cosine"
                 lengths = pdf["data"].map(len)
                 if (lengths != q.shape[1]).any():
                     raise InvalidDimension(q.shape[1], int(lengths[lengths != q.shape[1]].iloc[0]))
-                d = block_distances(q, np.stack(pdf["data"].to_numpy()).astype(np.float64), name)
                 own = pdf["id"].to_numpy()
                 order = np.argsort(own, kind="stable")  # so that ties go to the smaller id
-                d, own = d[:, order], own[order]
-                top = np.argsort(d, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"qid": np.repeat(ids, top.shape[1]), "id": own[top].ravel(), "distance": np.take_along_axis(d, top, 1).ravel()})
+                x, own = np.stack(pdf["data"].to_numpy()).astype(np.float64)[order], own[order]
+                for at in range(0, len(q), QUERY_ROWS):
+                    d = block_distances(q[at : at + QUERY_ROWS], x, name)
+                    top = k_nearest(d, k)
+                    yield pd.DataFrame({"qid": np.repeat(ids[at : at + QUERY_ROWS], top.shape[1]), "id": own[top].ravel(), "distance": np.take_along_axis(d, top, 1).ravel()})
 
         parts.append(rows.mapInPandas(near, kind))
     found = parts[0] if parts else spark.createDataFrame([], kind)
@@ -111,10 +137,17 @@ def block_distances(q: np.ndarray, x: np.ndarray, by: str) -> np.ndarray:
     return 1 - np.divide(dot, norms, out=np.zeros_like(dot), where=norms > 0)
 
 
+def quantized_distance(kind: str, data: Column, query: Sequence[float], by: str = "cosine") -> Column:
+    """The distance as a quantizer sees it: of 8-bit codes decoded again, or the number of bits that differ (``kind``: scalar, binary)."""
+    if kind == "binary":
+        return z.hamming(z.binary_quantize(data, len(query))["words"], z.binary_quantize(vector(query), len(query))["words"]).cast("double")
+    return F.round(distance(z.scalar_dequantize(z.scalar_quantize(data)), query, by), 9)
+
+
 def distance_matrix(df: DataFrame, queries: DataFrame, by: str = "cosine", c: Columns = Columns(), query_id: str = "qid", query_vector: str = "query") -> DataFrame:
     """``qid, id, distance`` of every query and row, for a stated query set in one block."""
-    if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
-        raise InvalidInput(f"a distance matrix takes at most {QUERY_BLOCK} queries; use batch_knn")
+    if queries.limit(MATRIX_ROWS + 1).count() > MATRIX_ROWS:
+        raise InvalidInput(f"a distance matrix takes at most {MATRIX_ROWS} queries; use batch_knn")
     q = F.broadcast(queries.select(F.col(query_id).alias("qid"), F.col(query_vector).alias("query")))
     rows = df.select(F.col(c.id).alias("id"), F.col(c.data).alias("data"))
     return rows.crossJoin(q).select("qid", "id", distance(F.col("query"), F.col("data"), by).alias("distance"))
