@@ -8,7 +8,7 @@ from vectorloom.functions.ids import plain_uuid
 from vectorloom.operators import dml
 from vectorloom.operators.changefeed import ChangeLog
 from vectorloom.operators.snapshot_diff import snapshot_changes
-from vectorloom.streaming.replay import current, limit_rate, stream_to_changelog, stream_upserts
+from vectorloom.streaming.replay import current, fold_parts, limit_rate, stream_to_changelog, stream_upserts
 
 U = [f"0000000{i}-0000-4000-8000-00000000000a" for i in range(10)]
 LOG = "id string, timestamp bigint, checksum bigint, operation string, collection string, vector_id string, vectors array<struct<id:string,data:array<float>,metadata:string>>, received_at timestamp, ts string, seq int"
@@ -98,14 +98,62 @@ def test_streamed_upserts_keep_tombstones(spark, tmp_path):
         spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(d + "/feed")
         src = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(d + "/feed")
         stream_upserts(src, d + "/out", d + "/cp", "id", "seq", "deleted").awaitTermination()
-    assert [tuple(r) for r in current(spark, d + "/out").where("NOT deleted").collect()] == [(2, 2, False, "b")]
-    assert current(spark, d + "/none") is None
+    now = lambda: [tuple(r) for r in current(spark, d + "/out", "id", "seq", "deleted").where("NOT deleted").collect()]
+    assert now() == [(2, 2, False, "b")] and current(spark, d + "/none", "id", "seq", "deleted") is None
+    parts = lambda: sorted(x.name for x in tmp_path.joinpath("out").iterdir())
+    fold_parts(spark, d + "/out", "id", "seq", "deleted", 0)
+    assert now() == [(2, 2, False, "b")] and "v=0" in parts()
+    fold_parts(spark, d + "/out", "id", "seq", "deleted", 1)
+    fold_parts(spark, d + "/out", "id", "seq", "deleted", 1)
+    assert now() == [(2, 2, False, "b")] and {"v=0", "v=1"} <= set(parts()) and "b=0" not in parts()
+    # a fold that broke off doesn't count
+    tmp_path.joinpath("out/v=9").mkdir()
+    assert now() == [(2, 2, False, "b")]
 
 
 def test_rate_limit(spark):
     times = ["2024-01-01 00:00:00", "2024-01-01 00:00:10", "2024-01-01 00:00:20", "2024-01-01 00:01:05", "2024-01-01 00:01:08"]
     df = spark.createDataFrame([("u", t) for t in times], "u string, t string").select("u", F.to_timestamp("t").alias("t"))
     assert [r.allowed for r in limit_rate(df, "u", "t", 2).orderBy("t").collect()] == [True, True, False, True, False]
+    # a null user is one of its own, a request without a time is refused, other columns don't matter
+    odd = df.union(df.selectExpr("CAST(NULL AS STRING)", "t")).union(df.limit(1).selectExpr("u", "CAST(NULL AS TIMESTAMP)")).withColumn("allowed", F.lit("x"))
+    got = limit_rate(odd, "u", "t", 2).collect()
+    assert sorted(str(r.t) for r in got if r.u is None and r.allowed) == [times[0], times[1], times[3]] and [r.allowed for r in got if r.t is None] == [False] and len(got) == 11
+    assert limit_rate(df.limit(0), "u", "t", 2).count() == 0
+
+
+def test_rate_limit_in_small_batches(spark):
+    """A user's requests come to the limiter in many batches: the last minute is carried on."""
+    df = spark.range(500).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("u"), F.timestamp_seconds(F.col("id") * 7).alias("t"))
+    def brute(times):
+        kept = []
+        for t in times:
+            kept += [t] if sum(t - x < 60 for x in kept) < 2 else []
+        return kept
+    want = brute([7 * i for i in range(500) if i % 3])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        got = sorted(r.s for r in limit_rate(df, "u", "t", 2).where("u = 'hot' AND allowed").select(F.unix_seconds("t").alias("s")).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == want
+
+
+def test_concurrent_requests(spark):
+    rows = [("u", 0, 100), ("u", 10, 20), ("u", 15, 90), ("u", 20, 30), ("u", 95, 99), ("u", 100, None), ("u", 100, 110)]
+    df = spark.createDataFrame(rows, "u string, a int, b int").select("u", F.timestamp_seconds("a").alias("t"), F.timestamp_seconds("b").alias("e"))
+    got = limit_rate(df, "u", "t", 1000, "e", 2).select(F.unix_seconds("t").alias("s"), "allowed").collect()
+    assert [r.allowed for r in sorted(got, key=lambda r: r.s)] == [True, True, False, True, True, True, True]
+
+
+def test_shards_and_ring(spark):
+    ids = spark.range(3000)
+    n = ["a", "b", "c", "d"]
+    got = ids.select("id", dml.ring_nodes(F.col("id"), n, 2).alias("with_d"), dml.ring_nodes(F.col("id"), n[:3], 2).alias("without"), dml.shard(F.col("id"), 8).alias("s"), dml.replicas(dml.shard(F.col("id"), 8), 9, 3).alias("r")).collect()
+    assert all(len(set(r.with_d)) == 2 == len(set(r.without)) and sorted(r.r) == [0, 1, 2] and 0 <= r.s < 8 for r in got)
+    # only what the missing node held moves
+    assert all(r.with_d == r.without for r in got if "d" not in r.with_d) and min(sum(r.with_d[0] == x for r in got) for x in n) > 300
 
 
 SNAP = "snapshot_name string, id string, data array<float>, metadata string, hash int, collection string"

@@ -135,3 +135,26 @@ def test_index_batches(spark, monkeypatch):
     got = rows(index.search_batch(q, 5, probe).drop("rank").withColumn("rank", F.lit(0)))
     assert probe < 12 and len(got & want) >= 0.9 * len(want)
     assert index.probes(few.limit(0)) == 12 and index.search_batch(few.limit(0)).count() == 0
+
+
+def test_k_nearest_ties_go_to_the_smaller_place():
+    import numpy as np
+
+    from vectorloom.operators.search import k_nearest
+
+    d = np.random.default_rng(1).integers(0, 5, (40, 30)).astype(float)
+    for k in (0, 1, 4, 29, 30, 99):
+        assert np.array_equal(k_nearest(d, k), np.argsort(d, axis=1, kind="stable")[:, :k])
+
+
+def test_bm25_index_equals_the_scan(spark, tmp_path):
+    from vectorloom.operators import bm25
+
+    docs = spark.createDataFrame([(1, "the boat, the storm"), (2, "A storm!"), (3, None), (4, ""), (5, "boat boat harbour"), (6, "é ü"), (7, "x")], "doc_id int, text string").withColumn("len", F.lit("clash"))
+    index = bm25.Bm25Index(spark, f"file://{tmp_path}/i").build(docs, buckets=4)
+    for query in ({"storm": 2.0, "boat": 1.0}, {"none": 1.0}, {}):
+        a, b = (sorted((r.doc, round(r.score, 9)) for r in x.collect()) for x in (index.search(query), bm25.search_texts(docs, query)))
+        c = sorted((r.doc, round(r.score, 9)) for r in bm25.search(bm25.postings(docs), query).collect())
+        assert a == b == c and (len(a) == 3 if "boat" in query else a == [])
+    empty = bm25.Bm25Index(spark, f"file://{tmp_path}/e").build(docs.limit(0))
+    assert empty.search({"storm": 1.0}).count() == 0 and bm25.search_texts(docs.limit(0), {"storm": 1.0}).count() == 0

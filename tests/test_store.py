@@ -79,3 +79,135 @@ def test_logs(spark, tmp_path):
     assert {tuple(r) for r in logs.read_log(spark, f"file://{tmp_path}/log", "seq int, v string").collect()} == {(1, "a"), (2, None)}
     (tmp_path / "v.jsonl").write_text('{"id": "a", "data": [1, 2], "metadata": {"k": 1}}\n{"id": "b", "da\n')
     assert [(r.id, list(r.data), r.metadata) for r in logs.read_vectors(spark, f"file://{tmp_path}/v.jsonl").collect()] == [("a", [1.0, 2.0], '{"k": 1}')]
+
+
+def names(client, kind):
+    return {x for x in client.store.files.children(f"{client.store.root}/docs") if x.startswith(kind)}
+
+
+def test_changes_rewrite_nothing(client):
+    client.insert_vectors("docs", rows("a", "b", "c"))
+    first = names(client, "gen-")
+    client.insert_vectors("docs", rows("c", "d"))
+    client.delete_vectors("docs", ["a"])
+    assert first < names(client, "gen-") and len(names(client, "gen-")) == 2 and len(names(client, "del-")) == 2
+    assert {r.id: r.data for r in client.store.read("docs").collect()} == {"b": [1.0, 1.0], "c": [0.0, 1.0], "d": [1.0, 1.0]}
+    client.insert_vectors("docs", rows("a"))  # deleted, and back again
+    assert client.count("docs") == 4 and client.get_vector("docs", "a")["data"] == [0.0, 1.0]
+    client.store.compact("docs")
+    assert client.count("docs") == 4 and len(names(client, "gen-")) == 1 and not names(client, "del-")
+
+
+def test_a_batch_of_one_id_twice_counts_once(client, spark):
+    twice = spark.createDataFrame([("a", [1.0, 2.0], None, 7), ("a", [3.0, 4.0], None, 7), (None, [5.0, 6.0], None, 7)], "id string, data array<float>, metadata string, number_ int")
+    assert client.insert_vectors("docs", twice) == 3
+    assert client.store.read("docs").where("id = 'a'").count() == 1
+
+
+def test_a_write_that_breaks_off_before_its_commit_changes_nothing(client, monkeypatch):
+    client.insert_vectors("docs", rows("a", "b"))
+
+    def broken(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(type(client.store), "commit", broken)
+        for change in (lambda: client.insert_vectors("docs", rows("b", "c")), lambda: client.delete_vectors("docs", ["a"]), lambda: client.store.compact("docs")):
+            with pytest.raises(KeyboardInterrupt):
+                change()
+    assert sorted(r.id for r in client.store.read("docs").collect()) == ["a", "b"]
+    client.insert_vectors("docs", rows("c"))
+    assert client.count("docs") == 3
+
+
+def test_two_writers_of_one_number(client, monkeypatch):
+    """Another writer commits between this one's look at the state and its commit: neither change is lost."""
+    client.insert_vectors("docs", rows("a"))
+    store, d = client.store, f"{client.store.root}/docs"
+    create, raced = store.files.create, []
+
+    def first_another(p, text):
+        if not raced and "/manifests/" in p:
+            raced.append(p)
+            Client(client.spark, store.root).insert_vectors("docs", rows("x", "b"))
+        return create(p, text)
+
+    monkeypatch.setattr(store.files, "create", first_another)
+    client.insert_vectors("docs", rows("b", "c"))
+    assert sorted((r.id, r.data[0]) for r in store.read("docs").collect()) == [("a", 0.0), ("b", 0.0), ("c", 1.0), ("x", 0.0)]
+    assert store.manifest(d)["number"] == 3 and not create(f"{d}/manifests/{3:010d}.json", "{}")
+
+
+def test_readers_keep_what_they_began_with(client):
+    client.insert_vectors("docs", rows("a", "b"))
+    seen = client.store.read("docs")
+    client.delete_vectors("docs", ["a"])
+    assert seen.count() == 2 and client.count("docs") == 1
+
+
+def test_index_of_a_collection(client, spark):
+    rows_ = spark.range(400).selectExpr("CAST(id AS STRING) AS id", "array(CAST(id AS FLOAT), CAST(id % 7 AS FLOAT)) AS data", "to_json(named_struct('n', id)) AS metadata")
+    with pytest.raises(NotFound):
+        client.store.search_index("docs", [1.0, 1.0])
+    assert client.build_index("docs")["rows"] == 0 and client.search("docs", [1.0, 1.0], 3, exact=False).count() == 0
+    client.insert_vectors("docs", rows_)
+    info = client.build_index("docs", 10)
+    assert info["rows"] == 400 and len(info["centres"]) == 10
+    client.insert_vectors("docs", [{"id": "new", "data": [100.0, 2.0]}, {"id": "100", "data": [0.0, 0.0]}])
+    client.delete_vectors("docs", ["99"])
+    ids = lambda **k: [r.id for r in client.search("docs", [100.0, 2.0], 3, **k).collect()]
+    assert ids(exact=False) == ids() == ["new", "101", "102"]
+    assert [r.id for r in client.search("docs", [100.0, 2.0], 2, {"n": 101}, exact=False).collect()] == ["101"]
+    plan = client.store.search_index("docs", [100.0, 2.0], 3)._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and "cell" in plan
+
+
+@pytest.mark.parametrize("kind", ["scalar", "binary"])
+def test_quantized_search(spark, tmp_path, kind):
+    c = Client(spark, f"file://{tmp_path}/store")
+    c.create_collection("q", 8, quantization={"kind": kind, "always_ram": True})
+    c.insert_vectors("q", spark.range(300).selectExpr("CAST(id AS STRING) AS id", "transform(sequence(1, 8), i -> CAST(sin(id * i) AS FLOAT)) AS data"))
+    q = [float(x) for x in c.get_vector("q", "17")["data"]]
+    near, exact = [r.id for r in c.search("q", q, 5, exact=False, oversample=10).collect()], [r.id for r in c.search("q", q, 5).collect()]
+    assert near[0] == "17" and len(set(near) & set(exact)) >= 4
+
+
+def test_more_of_the_client(client, spark):
+    meta = lambda i: {"kind": ["x", "y"][i % 2], "text": f"river stone {'lantern' if i == 3 else ''}", "sparse": {"indices": [i, 50], "values": [1.0, 1.0]}}
+    client.insert_vectors("docs", [{"id": str(i), "data": [float(i), 1.0], "metadata": meta(i)} for i in range(7)])
+    assert [tuple(r) for r in client.facet("docs", "kind").collect()] == [("x", 4), ("y", 3)]
+    groups = client.search_groups("docs", [3.0, 1.0], "kind", 2, 2).collect()
+    assert {(r.grp, r.id) for r in groups} == {("y", "3"), ("x", "2"), ("x", "4"), ("y", "1")}
+    assert [r.id for r in client.prefetch("docs", [3.0, 1.0], 1, per_prefetch=5).collect()] == ["3"]
+    assert client.hybrid_search("docs", [3.0, 1.0], {"lantern": 1.0}, limit=1).first().id == "3"
+    assert client.search_sparse("docs", {4: 1.0}).first().doc == "4"
+    saved = client.backup("docs")
+    client.delete_collection("docs")
+    assert client.list_deleted()[0][0] == "docs" and client.restore(saved, "copy") == "copy" and client.count("copy") == 7 and client.cleanup_deleted(-1) == ["docs"]
+    assert client.live() and client.ready()["ready"]
+    client.store.commit(f"{client.store.root}/copy", lambda m, _: {**m, "rows": {**m["rows"], "gen-" + "0" * 32: 9}})  # a generation that isn't there
+    client.create_collection("ok", 2)
+    deep = client.deep_health()
+    assert deep["collections"]["ok"]["status"] == "healthy" and deep["collections"]["copy"]["status"] == "unhealthy" and deep["status"] == "unhealthy"
+    m = {(r.name, r.collection): r for r in client.get_metrics().collect()}
+    assert m["insert", "docs"]["count"] == 1 and m["vectors_inserted", "docs"]["count"] == 7 and sum(m["insert", "docs"].buckets) == 1
+    import numpy as np
+
+    assert client.insert_vectors("ok", np.arange(10.0).reshape(5, 2)) == 5 and client.count("ok") == 5
+
+
+def test_orphans_and_migration(client, spark, tmp_path):
+    client.insert_vectors("docs", rows("a", "b"))
+    client.delete_vectors("docs", ["a"])
+    other = Client(spark, f"file://{tmp_path}/other")
+    assert other.store.import_orphaned(f"{client.store.root}/docs", "mine") == "mine" and other.count("mine") == 1
+    assert other.get_collection("mine").distance_metric == "euclidean"  # the folder's own configuration
+    client.store.read("docs").write.parquet(f"file://{tmp_path}/bare")
+    assert other.store.import_orphaned(f"file://{tmp_path}/bare") == "bare" and other.get_collection("bare").dimension == 2
+    from pyspark.sql import functions as F
+
+    def wider(df, config):
+        config.dimension = 3
+        return df.withColumn("data", F.concat("data", F.array(F.lit(0.0).cast("float")))), config
+
+    assert other.store.migrate("bare", "wide", wider) == 1 and other.get_vector("wide", "b")["data"] == [1.0, 1.0, 0.0]

@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .errors import InvalidDimension, InvalidInput, NotFound
-from .operators import search as s
+from .metrics import Metrics
+from .operators import bm25, fusion, search as s
+from .plans.filters import compile_filter
 from .sources.store import CollectionConfig, Store
 
 
+def payload_value(metadata: Column, key: str) -> Column:
+    """A key of a payload as text; null where it is missing."""
+    return F.get_json_object(metadata, f"$['{key}']")
+
+
 class Client:
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.store = spark, Store(spark, root)
+        self.spark, self.store, self.metrics = spark, Store(spark, root), Metrics()
 
     def create_collection(self, name: str, dimension: int, distance_metric: str = "cosine", **more) -> CollectionConfig:
         return self.store.create_collection(CollectionConfig(name, dimension, distance_metric, **more))
@@ -39,6 +49,11 @@ class Client:
     def _frame(self, vectors) -> DataFrame:
         if isinstance(vectors, DataFrame):
             return vectors
+        if isinstance(vectors, np.ndarray):
+            # a matrix goes to Spark as one Arrow table, not element by element
+            data = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(vectors, np.float32).ravel()), vectors.shape[1])
+            ids = pa.array([str(uuid.uuid4()) for _ in range(len(vectors))])
+            return self.spark.createDataFrame(pa.table({"id": ids, "data": data.cast(pa.list_(pa.float32()))}))
         rows = [(str(v.get("id") or uuid.uuid4()), [float(x) for x in v["data"]], v.get("metadata")) for v in vectors]
         import json
 
@@ -46,7 +61,10 @@ class Client:
 
     def insert_vectors(self, name: str, vectors) -> int:
         """Dicts (id, data, metadata) or a DataFrame; of any number, so there is nothing to batch."""
-        return self.store.insert(name, self._frame(vectors))
+        with self.metrics.timed("insert", name):
+            n = self.store.insert(name, self._frame(vectors))
+        self.metrics.add("vectors_inserted", name, n)
+        return n
 
     batch_insert_simple = upsert_vectors = insert_vectors
 
@@ -72,16 +90,73 @@ class Client:
     def delete_vector(self, name: str, id: str) -> bool:  # noqa: A002
         return self.delete_vectors(name, [id]) == 1
 
-    def search(self, name: str, query: Sequence[float], limit: int = 10, filter: dict | None = None, offset: int = 0) -> DataFrame:  # noqa: A002
+    def search(self, name: str, query: Sequence[float], limit: int = 10, filter: dict | None = None, offset: int = 0, exact: bool = True, oversample: int = 4) -> DataFrame:  # noqa: A002
+        """The nearest rows. Not ``exact`` is by the collection's index if it has one; else, if its configuration names a quantization (``kind`` scalar or binary), the
+        ``oversample`` times as many rows that are nearest by quantized distance are searched exactly.
+        """
         c = self.store.config(name)
         if len(query) != c.dimension:
             raise InvalidDimension(c.dimension, len(query))
         if not 1 <= limit <= 10_000:
             raise InvalidInput("a limit is from 1 to 10000")
-        return s.knn(self.store.read(name), query, limit, c.distance_metric, filter, offset)
+        with self.metrics.timed("search", name):
+            if not exact and not offset:
+                if self.store.index_of(name):
+                    return self.store.search_index(name, query, limit, where=filter)
+                kind = (c.quantization or {}).get("kind")
+                if kind in ("scalar", "binary"):
+                    rows = s._kept(self.store.read(name), s.Columns(), filter)
+                    return s.prefetch_rescore(rows, query, [s.quantized_distance(kind, F.col("data"), query, c.distance_metric)], oversample * limit, limit, c.distance_metric)
+            return s.knn(self.store.read(name), query, limit, c.distance_metric, filter, offset)
 
     search_simple = search
 
+    def build_index(self, name: str, cells: int | None = None) -> dict:
+        with self.metrics.timed("build_index", name):
+            return self.store.build_index(name, cells)
+
+    rebuild_index = build_index
+
+    def facet(self, name: str, key: str, limit: int = 10, filter: dict | None = None) -> DataFrame:  # noqa: A002
+        """``value, count`` of a payload key's most frequent values."""
+        where = compile_filter(filter, F.col("metadata")) if filter else None
+        return s.facet(self.store.read(name), payload_value(F.col("metadata"), key), limit, where)
+
+    def search_groups(self, name: str, query: Sequence[float], group_by: str, group_size: int = 3, limit: int = 10, filter: dict | None = None) -> DataFrame:  # noqa: A002
+        return s.search_groups(self.store.read(name), query, payload_value(F.col("metadata"), group_by), group_size, limit, self.store.config(name).distance_metric, filter)
+
+    def prefetch(self, name: str, query: Sequence[float], limit: int = 10, kind: str = "scalar", per_prefetch: int = 100) -> DataFrame:
+        by = self.store.config(name).distance_metric
+        return s.prefetch_rescore(self.store.read(name), query, [s.quantized_distance(kind, F.col("data"), query, by)], per_prefetch, limit, by)
+
+    def hybrid_search(self, name: str, query: Sequence[float], terms: dict[str, float], text_key: str = "text", limit: int = 10, per_list: int = 100, method: str = "relative_score") -> DataFrame:
+        """``id, score`` of vectors and of the words of a payload key together."""
+        rows = self.store.read(name)
+        dense = s.knn(rows, query, per_list, self.store.config(name).distance_metric)
+        texts = rows.select("id", payload_value(F.col("metadata"), text_key).alias("text"))
+        return fusion.hybrid(dense.select("id", "distance"), bm25.search_texts(texts, terms, per_list, "id").withColumnRenamed("doc", "id"), limit, method)
+
+    def search_sparse(self, name: str, query: dict[int, float], key: str = "sparse", limit: int = 10) -> DataFrame:
+        """``doc, score`` of BM25 over the sparse vector ``{indices, values}`` of a payload key."""
+        kind = "struct<indices:array<int>,values:array<double>>"
+        rows = self.store.read(name).select("id", F.from_json(payload_value(F.col("metadata"), key), kind).alias("sparse")).where("sparse.indices IS NOT NULL")
+        return bm25.search(bm25.sparse_postings(rows, "id", "sparse"), query, limit)
+
+    def backup(self, name: str) -> str:
+        return self.store.backup(name)
+
+    def restore(self, path: str, name: str | None = None) -> str:
+        return self.store.restore(path, name)
+
+    def list_deleted(self) -> list[tuple[str, str, float]]:
+        return self.store.list_deleted()
+
+    def cleanup_deleted(self, hours: float = 24) -> list[str]:
+        return self.store.cleanup_deleted(hours)
+
+    def cleanup_snapshots(self, keep: int, name: str | None = None) -> int:
+        return self.store.cleanup_snapshots(keep, name)
+
     def batch_search(self, name: str, queries: DataFrame, limit: int = 10) -> DataFrame:
         return s.batch_knn(self.store.read(name), queries, limit, self.store.config(name).distance_metric)
 
@@ -97,6 +172,39 @@ class Client:
     def count(self, name: str, filter: dict | None = None, exact: bool = True) -> int:  # noqa: A002
         return s.count(self.store.read(name), filter, exact).first()[0]
 
+    def live(self) -> bool:
+        """Whether the session runs."""
+        return self.spark.sparkContext._jsc is not None and not self.spark.sparkContext._jsc.sc().isStopped()
+
+    def ready(self) -> dict:
+        """Whether a job runs and the store's folder can be listed, and how long each takes."""
+        out = {}
+        for part, call in (("job", lambda: self.spark.range(1).count() == 1), ("storage", lambda: self.store.list_collections() is not None)):
+            began = time.perf_counter()
+            try:
+                ok, error = bool(call()), None
+            except Exception as e:  # noqa: BLE001
+                ok, error = False, str(e)
+            out[part] = {"ok": ok, "ms": round(1000 * (time.perf_counter() - began), 1), "error": error}
+        return {"ready": all(x["ok"] for x in out.values()), "checks": out}
+
+    def deep_health(self, degraded_ms: float = 5_000, unhealthy_ms: float = 30_000) -> dict:
+        """Each collection's manifest, rows and consistency, judged by faults and by the time a pass over it takes: healthy, degraded or unhealthy, the worst for all."""
+        order, parts = ("healthy", "degraded", "unhealthy"), {}
+        for name in self.list_collections():
+            began = time.perf_counter()
+            try:
+                c = self.store.check(name).first().asDict()
+                ms = 1000 * (time.perf_counter() - began)
+                faults = c["null_data"] + c["wrong_dimension"] + c["duplicate_ids"]
+                state = order[2] if ms >= unhealthy_ms or faults > c["row_count"] / 2 else order[1] if ms >= degraded_ms or faults else order[0]
+                parts[name] = {"status": state, "ms": round(ms, 1), **c}
+            except Exception as e:  # noqa: BLE001
+                parts[name] = {"status": order[2], "error": str(e)}
+        ready = self.ready()
+        worst = max((order.index(p["status"]) for p in parts.values()), default=0)
+        return {"status": order[worst] if ready["ready"] else order[2], **ready, "collections": parts}
+
     def health_check(self) -> dict:
         try:
             return {"healthy": True, "collections": len(self.list_collections())}
@@ -109,6 +217,9 @@ class Client:
     def get_info(self) -> dict:
         return self.health_check() | {"spark": self.spark.version}
 
+    def get_metrics(self) -> DataFrame:
+        return self.metrics.frame(self.spark)
+
     def create_snapshot(self, name: str) -> dict:
         return self.store.create_snapshot(name)
 

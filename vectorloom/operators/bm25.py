@@ -96,15 +96,16 @@ class Bm25Index:
         tf = tf.withColumn("len", F.count("*").over(W.partitionBy("doc"))).withColumn("bucket", self.bucket(F.col("term"), buckets))
         tf = tf.repartition(F.col("bucket"), F.pmod(F.xxhash64("doc"), F.lit(4))).sortWithinPartitions("bucket", "term", "doc")
         tf.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
-        lengths = self.spark.read.parquet(f"{self.path}/postings").select("doc", "len").distinct()
-        stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), F.lit(buckets).alias("buckets"))
+        kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tf.schema)
+        lengths = self.spark.read.schema(kind).parquet(f"{self.path}/postings").select("doc", "len").distinct()
+        stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), F.lit(buckets).alias("buckets"), F.lit(kind).alias("kind"))
         stats.write.mode("overwrite").parquet(f"{self.path}/stats")
         return self
 
     def search(self, query: dict[str, float], k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
         """``doc, score`` of the k best documents; as ``search``."""
         stats = self.spark.read.parquet(f"{self.path}/stats").first()
-        p = self.spark.read.parquet(f"{self.path}/postings")
+        p = self.spark.read.schema(stats["kind"]).parquet(f"{self.path}/postings")
         if not query:
             return p.select("doc", F.lit(0.0).alias("score")).limit(0)
         terms = list(query)

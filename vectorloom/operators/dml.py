@@ -79,4 +79,27 @@ def newest(rows: DataFrame, keys: list[str], at: str, keep: int, *ties: str) ->
 
 
 def shard(id_: Column, shards: int) -> Column:
-    return F.pmod(F.xxhash64(id_), F.lit(shards)).cast("int")
+    """The shard of an id: its MD5 in plain text form, first 32 bits, modulo the number of shards; any engine can compute it."""
+    return (F.conv(F.substring(F.md5(id_.cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint") % shards).cast("int")
+
+
+def replicas(shard_: Column, copies: int, nodes: int) -> Column:
+    """The nodes that hold a shard: the next ``copies`` ones from its own on, each once."""
+    return F.transform(F.sequence(F.lit(0), F.lit(min(copies, nodes) - 1)), lambda r: ((shard_ + r) % nodes).cast("int"))
+
+
+def ring_nodes(id_: Column, nodes: list[str], copies: int = 1, points: int = 64) -> Column:
+    """The ``copies`` nodes of an id on a consistent-hash ring: the owners of the next points from the id's hash on, each node once.
+
+    A node has ``points`` points on the ring, at the MD5 of ``node#i``. If a node leaves, only the ids that it held move. The ring is a literal of the plan, sorted once.
+    """
+    import hashlib
+
+    at = sorted((int(hashlib.md5(f"{n}#{i}".encode()).hexdigest()[:8], 16), n) for n in nodes for i in range(points))
+    # for each point the nodes from there on
+    owners = [list(dict.fromkeys(n for _, n in at[i:] + at[:i]))[:copies] for i in range(len(at))]
+    ring = F.array(*(F.lit(p).cast("bigint") for p, _ in at))
+    held = F.array(*(F.array(*(F.lit(n) for n in o)) for o in owners))
+    h = F.conv(F.substring(F.md5(id_.cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint")
+    behind = F.size(F.filter(ring, lambda p: p < h))
+    return F.get(held, F.when(behind == len(at), 0).otherwise(behind))

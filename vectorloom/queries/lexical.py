@@ -8,7 +8,7 @@ from ..functions import quantize as z, sparse as sp
 from ..functions.vector import distance, vector
 from ..operators import bm25, fusion, search as s
 from ..operators.quantizers import IvfIndex, ProductQuantizer
-from ..session import table
+from ..session import scratch_path, table
 from .common import E, E_SQL, d_sql, embeddings, first_vector, r_sql, rounded
 
 QUERIES, SQL = {}, {}
@@ -195,20 +195,40 @@ def _pq(spark, sf):
     return ProductQuantizer.train(embeddings(spark, sf), 8, 16, E)
 
 
-@add("pq_train")
+@add("pq_train", "SELECT s AS segment, 16::BIGINT AS codes, 8::BIGINT AS width, true AS better FROM range(8) t(s)")
 def pq_train(spark, sf):
-    return _pq(spark, sf).table(spark).select("segment", "code", F.posexplode("centre").alias("pos", "x")).withColumn("x", rounded(F.col("x")))
-
-
-@add("pq_encode")
+    """Each segment's codebook: its size, and whether it describes the vectors better than one centre does (less than the variance is left)."""
+    pq, e = _pq(spark, sf), embeddings(spark, sf)
+    books = pq.table(spark)
+    shape = books.groupBy("segment").agg(F.count("*").alias("codes"), F.max(F.size("centre")).cast("bigint").alias("width"))
+    parts = e.select(F.posexplode(F.array(*(F.slice("embedding", 8 * i + 1, 8) for i in range(8)))).alias("segment", "part")).select("segment", F.col("part").cast("array<double>").alias("part"))
+    away = F.aggregate(F.zip_with("part", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0).cast("double"), lambda a, x: a + x)
+    means = parts.select("segment", F.posexplode("part").alias("pos", "x")).groupBy("segment", "pos").agg((F.var_pop("x") * F.count("*")).alias("v")).groupBy("segment").agg(F.sum("v").alias("variance"))
+    left = parts.withColumn("row", F.monotonically_increasing_id()).join(F.broadcast(books), "segment").groupBy("segment", "row").agg(F.min(away).alias("d")).groupBy("segment").agg(F.sum("d").alias("left"))
+    return shape.join(means, "segment").join(left, "segment").select(F.col("segment").cast("bigint").alias("segment"), "codes", "width", (F.col("left") < F.col("variance")).alias("better"))
+
+
+@add("pq_encode", "SELECT vec_id AS id, s AS segment, true AS nearest FROM embeddings, range(8) t(s)")
 def pq_encode(spark, sf):
-    return _pq(spark, sf).encode(embeddings(spark, sf), E).select("id", F.posexplode("codes").alias("segment", "code"))
+    """Each code held against the codebook's rows by plain expressions: no centre is nearer (ties within 1e-9)."""
+    pq = _pq(spark, sf)
+    codes = pq.encode(embeddings(spark, sf), E).select("id", F.posexplode("codes").alias("segment", "code"))
+    parts = embeddings(spark, sf).select(F.col("vec_id").alias("id"), F.posexplode(F.array(*(F.slice("embedding", 8 * i + 1, 8) for i in range(8)))).alias("segment", "part"))
+    away = F.aggregate(F.zip_with("part", "centre", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0).cast("double"), lambda a, x: a + x)
+    each = parts.join(F.broadcast(pq.table(spark).withColumnRenamed("code", "other")), "segment").select("id", "segment", "other", away.alias("d"))
+    least = each.join(codes, ["id", "segment"]).groupBy("id", "segment").agg(F.min("d").alias("least"), F.min(F.when(F.col("other") == F.col("code"), F.col("d"))).alias("own"))
+    return least.select("id", F.col("segment").cast("bigint").alias("segment"), (F.col("own") <= F.col("least") + 1e-9).alias("nearest"))
 
 
-@add("pq_decode")
+@add("pq_decode", "SELECT vec_id AS id, p AS pos, true AS same FROM embeddings, range(64) t(p)")
 def pq_decode(spark, sf):
+    """Each decoded element is that of its code's centre, found by a join with the codebooks."""
     pq = _pq(spark, sf)
-    return pq.decode(pq.encode(embeddings(spark, sf), E)).select("id", F.posexplode("data").alias("pos", "x")).withColumn("x", rounded(F.col("x")))
+    codes = pq.encode(embeddings(spark, sf), E)
+    got = pq.decode(codes).select("id", F.posexplode("data").alias("pos", "x"))
+    want = codes.select("id", F.posexplode("codes").alias("segment", "code")).join(F.broadcast(pq.table(spark)), ["segment", "code"]).select("id", "segment", F.posexplode("centre").alias("at", "y"))
+    both = got.join(want.select("id", (F.col("segment") * 8 + F.col("at")).alias("pos"), "y"), ["id", "pos"])
+    return both.select("id", F.col("pos").cast("bigint").alias("pos"), (F.col("x") == F.col("y")).alias("same"))
 
 
 #: Aimed at, so that the 0.9 that is asked for holds whichever way ties are counted.
@@ -223,3 +243,20 @@ def knn_ann_ivf(spark, sf):
     index = IvfIndex.build(e, 16, E)
     near = index.search_batch(queries, 10, index.probes(queries, 10, RECALL))
     return near.select("qid", "id", rounded(F.col("distance")).alias("distance"), "rank")
+
+
+@add("knn_ann_recall", "SELECT count(*) AS queries, 10 * count(*) AS found, true AS reached FROM embeddings WHERE vec_id % 100 = 0")
+def knn_ann_recall(spark, sf):
+    """The index's answers held against an exact search for the same queries: whether the recall reaches 0.9."""
+    e = embeddings(spark, sf)
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
+    exact = s.batch_knn(e, queries, 10, c=E).select("qid", "id", F.lit(1).alias("true_"))
+    near = knn_ann_ivf(spark, sf).select("qid", "id").join(exact, ["qid", "id"], "left")
+    return near.agg(F.count_distinct("qid").alias("queries"), F.count("*").alias("found"), (F.count("true_") >= 0.9 * F.count("*")).alias("reached"))
+
+
+@add("bm25_index_search", f"{_SCORE_SQL} SELECT doc, {r_sql('score')} AS score FROM sc ORDER BY sc.score DESC, doc LIMIT 10")
+def bm25_index_search(spark, sf):
+    """The same search through persisted postings."""
+    index = bm25.Bm25Index(spark, scratch_path(spark, "postings")).build(table(spark, sf, "documents"))
+    return index.search(_QUERY, 10).select("doc", rounded(F.col("score")).alias("score"))

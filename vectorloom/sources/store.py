@@ -234,6 +234,9 @@ class Store:
         self.commit(d, lambda now, _: {**now, "index": info})
         return info
 
+    def index_of(self, name: str) -> dict | None:
+        return self.manifest(self._dir(name))["index"]
+
     def search_index(self, name: str, query, k: int = 10, probe: int | None = None, where=None) -> DataFrame:
         """``id, distance, metadata`` of the k nearest rows in the ``probe`` nearest cells and among the rows written since the index was built.
 
