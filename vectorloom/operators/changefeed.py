@@ -1,7 +1,7 @@
 """Applying a stream of inserts, updates and deletes.
 
-The log is kept as three append-only tables with sequence numbers, in the manner of equality-delete files: ``inserts``,
-``vector_deletes`` and ``collection_deletes``. Appending a batch needs no state and no look at earlier batches, so it is the
+The log is kept as three append-only sets of files with sequence numbers, in the manner of equality-delete files: ``inserts``,
+``vector_deletes`` and ``collection_deletes``, which are partitions of one table, so that a batch is read and written once and committed as a whole. Appending a batch needs no state and no look at earlier batches, so it is the
 same for a batch job and a stream. A reader takes the last insert of each key and anti-joins it against later delete keys.
 
 A row's sequence number is (timestamp in whole seconds, entry id in plain form). An entry that is delivered several times counts
@@ -38,22 +38,27 @@ def normalize_entries(log: DataFrame) -> DataFrame:
     return e.where(F.col("entry_id").isNotNull() & F.col("collection").isNotNull() & F.col("ts").isNotNull() & F.col("op").isin(*OPERATIONS))
 
 
-def inserts_of(entries: DataFrame) -> DataFrame:
-    """One row for each vector that a delivery inserts; ``ordinal`` is its place in the batch. Vectors without an id are left out."""
-    return (
-        entries.where(F.col("op").isin("insertvector", "batchinsert"))
-        .select("collection", "entry_id", "ts", F.posexplode("vectors").alias("ordinal", "v"))
-        .select("collection", plain_uuid(F.col("v.id")).alias("vector_id"), "entry_id", "ts", "ordinal", F.col("v.data").alias("data"), F.col("v.metadata").alias("metadata"))
-        .where(F.col("vector_id").isNotNull())
-    )
+#: Columns of the log's table; ``kind`` is its partition.
+ROWS = "collection string, vector_id string, entry_id string, ts bigint, ordinal int, data array<float>, metadata string, kind string"
+
 
+def changes_of(entries: DataFrame, payload: bool = True) -> DataFrame:
+    """One row for each change of a delivery, with its ``kind``: a vector inserted (``ordinal`` is its place in the batch) or deleted, or a collection deleted.
 
-def vector_deletes_of(entries: DataFrame) -> DataFrame:
-    return entries.where((F.col("op") == "deletevector") & F.col("vector_id").isNotNull()).select("collection", "vector_id", "entry_id", "ts")
+    Vectors without an id are left out.
+    """
+    data = [v.alias(n) for n, v in (("data", F.lit(None).cast("array<float>")), ("metadata", F.lit(None).cast("string")))] if payload else []
 
+    def insert(v: Column, i: Column) -> Column:
+        return F.struct(F.lit("inserts").alias("kind"), plain_uuid(v["id"]).alias("vector_id"), i.cast("int").alias("ordinal"), *([v["data"].alias("data"), v["metadata"].alias("metadata")] if payload else []))
 
-def collection_deletes_of(entries: DataFrame) -> DataFrame:
-    return entries.where(F.col("op") == "deletecollection").select("collection", "entry_id", "ts")
+    def delete(kind: str, vector_id: Column) -> Column:
+        return F.array(F.struct(F.lit(kind).alias("kind"), vector_id.alias("vector_id"), F.lit(0).alias("ordinal"), *data))
+
+    rows = F.when(F.col("op").isin("insertvector", "batchinsert"), F.transform("vectors", insert))
+    rows = rows.when(F.col("op") == "deletevector", delete("vector_deletes", F.col("vector_id"))).when(F.col("op") == "deletecollection", delete("collection_deletes", F.lit(None).cast("string")))
+    changes = entries.select("collection", "entry_id", "ts", F.explode(rows).alias("c"))
+    return changes.where((F.col("c.kind") == "collection_deletes") | F.col("c.vector_id").isNotNull()).select("collection", "c.vector_id", "entry_id", "ts", *[f"c.{n}" for n in ("ordinal", "data", "metadata")[: 3 if payload else 1]], "c.kind")
 
 
 def _last(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,7 +102,7 @@ def live_rows(inserts: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 class ChangeLog:
-    """The three tables under one path."""
+    """The log's table under a path, a partition for each kind of change."""
 
     TABLES = ("inserts", "vector_deletes", "collection_deletes")
 
@@ -105,15 +110,15 @@ class ChangeLog:
         self.spark, self.path = spark, path.rstrip("/")
 
     def append(self, log: DataFrame, payload: bool = True, mode: str = "append") -> "ChangeLog":
-        """Append a batch of deliveries. Without ``payload`` the inserts hold keys only."""
-        entries = normalize_entries(log)
-        inserts = inserts_of(entries) if payload else inserts_of(entries).drop("data", "metadata", "ordinal")
-        for name, rows in zip(self.TABLES, (inserts, vector_deletes_of(entries), collection_deletes_of(entries)), strict=True):
-            rows.write.mode(mode).option("compression", "zstd").parquet(f"{self.path}/{name}")
+        """Append a batch of deliveries in one pass. Without ``payload`` the inserts hold keys only."""
+        return self._write(changes_of(normalize_entries(log), payload), mode)
+
+    def _write(self, changes: DataFrame, mode: str = "append") -> "ChangeLog":
+        changes.write.mode(mode).option("compression", "zstd").partitionBy("kind").parquet(f"{self.path}/log")
         return self
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(ROWS).parquet(f"{self.path}/log").where(F.col("kind") == name).drop("kind")
 
     def keys(self) -> DataFrame:
         return live_keys(*(self.read(t) for t in self.TABLES))
@@ -122,10 +127,9 @@ class ChangeLog:
         return live_rows(self.read("inserts"), self.keys())
 
     def compact(self, path: str) -> "ChangeLog":
-        """A new log that holds only the last insert of each live key, with its sequence number; deletes that no entry can precede any more are kept."""
-        new = ChangeLog(self.spark, path)
+        """A new log that holds only the last insert of each live key, with its sequence number, and the last delete of each key: an entry that comes late may still precede it."""
         rows = self.rows().join(self.keys().select("collection", "vector_id", "ts"), ["collection", "vector_id"])
-        rows.select("collection", "vector_id", "entry_id", "ts", F.lit(0).alias("ordinal"), "data", "metadata").write.parquet(f"{new.path}/inserts")
+        new = rows.select("collection", "vector_id", "entry_id", "ts", F.lit(0).alias("ordinal"), "data", "metadata", F.lit("inserts").alias("kind"))
         for name, keys in (("vector_deletes", ["collection", "vector_id"]), ("collection_deletes", ["collection"])):
-            _last(self.read(name), keys).write.parquet(f"{new.path}/{name}")
-        return new
+            new = new.unionByName(_last(self.read(name), keys).withColumn("kind", F.lit(name)), allowMissingColumns=True)
+        return ChangeLog(self.spark, path)._write(new)
