@@ -75,6 +75,7 @@ def test_mixture_meets_weights(spark):
     assert d.where("mix = 'm'").select("shard").distinct().count() > 5
     again = draw(s.repartition(7), p, block_docs=16, shard_blocks=8)
     assert again.exceptAll(d).count() == 0  # the same whatever the partitions
+    assert draw(s, p, block_docs=16, shard_blocks=8, range_blocks=5).exceptAll(d).count() == 0  # nor in how many ranges the blocks are put in order
     small = plan(s, targets, total_tokens=1000.0)
     assert abs(small.where("mix = 'm'").agg(F.sum("wanted")).first()[0] - 1000) < 1e-6
 

@@ -248,3 +248,33 @@ def test_neighbours_a_little_above_the_least_similarity():
     row, other, _ = k.nearest(x, 5, 0.86)
     want = exact_neighbours(x, 5, 0.86)
     assert len(set(zip(row.tolist(), other.tolist(), strict=True)) & want) >= 0.995 * len(want)
+
+
+def test_sizes_beyond_a_block(spark, monkeypatch):
+    """A quarter, nearly all and all of a collection, a third of which are copies: no task sees more than a block, and small groups are all met."""
+    import vectorloom.llm.subset as sub
+
+    rng = np.random.default_rng(17)
+    n, block = 1500, 128
+    x = clustered(rng, n, 30)
+    x[500:1000] = x[500]
+    df = spark.createDataFrame([(uid(i), "c", [float(v) for v in r], '{"s": "v%d"}' % (i % 3) if i % 5 else None, None, *OTHER) for i, r in enumerate(x)], KIND)
+    req = spark.createDataFrame([(1, "c", n // 4, None), (2, "c", n - 50, "s"), (3, "c", n, None), (4, "c", 9999, "s"), (5, "c", 20, "s")], "request_id int, collection string, subset_size int, group_key string")
+    seen = spark.sparkContext.accumulator(0)
+    choose = sub._choose
+
+    def watched(table):
+        if table.num_rows > 2 * block:
+            seen.add(1)
+        return choose(table)
+
+    monkeypatch.setattr(sub, "_choose", watched)
+    got = varied_subsets(df, req, block_rows=block).collect()
+    by = {i: [r for r in got if r.request_id == i] for i in range(1, 6)}
+    assert {i: len(v) for i, v in by.items()} == {1: n // 4, 2: n - 50, 3: n, 4: n, 5: 20} and seen.value == 0
+    assert all(sorted(r.rank for r in v) == list(range(1, len(v) + 1)) and len({bytes(r.id) for r in v}) == len(v) for v in by.values())
+    u, place = unit(x), lambda r: int(bytes(r.id)[1:].hex()[:8], 16)
+    rows = [place(r) for r in by[1]]
+    assert sum(500 <= i < 1000 for i in rows) < 60  # a third of the collection, and hardly more than one place's worth of variety
+    best = u[k.farthest_first(u, n // 4, np.zeros(1, int), np.zeros(n, int))[0]]
+    assert (1 - u @ u[rows].T).min(axis=1).max() <= 2.5 * (1 - u @ best.T).min(axis=1).max()

@@ -19,6 +19,8 @@ from ..session import materialize
 from .encode import TOKENIZERS, encode_texts
 
 BLOCK_DOCS, SHARD_BLOCKS, SEED = 256, 64, 11
+#: Blocks of a source that are put in order by one task.
+RANGE_BLOCKS = 4096
 
 
 def deal(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
@@ -77,7 +79,25 @@ def plan(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None
     return t.withColumn("wanted", F.col("share") * most).select("mix", "source", "weight", "max_repeats", "share", F.coalesce("available", F.lit(0)).alias("available"), F.coalesce("wanted", F.lit(0.0)).alias("wanted"))
 
 
-def draw(sizes: DataFrame, planned: DataFrame, block_docs: int = BLOCK_DOCS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
+def _in_order(units: DataFrame, range_blocks: int) -> DataFrame:
+    """Each unit's place (from 1) and the tokens before it, in the order of ``order`` within its pass (mix, source, copy).
+
+    Prefix sums in two steps: the order's hash is cut into ranges of about ``range_blocks`` units; the ranges' sums are added up, and each range by itself.
+    """
+    key = ["mix", "source", "copy"]
+    ranges = F.ceil(F.col("blocks") / range_blocks)
+    units = units.withColumn("range", F.least(ranges - 1, F.floor((F.col("order") / 2.0**64 + 0.5) * ranges)))
+    sums = units.groupBy(*key, "range").agg(F.count("*").alias("n"), F.sum("block_tokens").alias("t"))
+    up = W.partitionBy(*key).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(up), F.lit(0))
+    sums = sums.select(*key, "range", before("n").alias("n_before"), before("t").alias("t_before"))
+    within = W.partitionBy(*key, "range").orderBy("order", "block")
+    units = units.join(sums, [*key, "range"]).withColumn("place", F.col("n_before") + F.row_number().over(within))
+    inner = F.coalesce(F.sum("block_tokens").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return units.withColumn("tokens_before", F.col("t_before") + inner).drop("range", "n_before", "t_before")
+
+
+def draw(sizes: DataFrame, planned: DataFrame, block_docs: int = BLOCK_DOCS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED, range_blocks: int = RANGE_BLOCKS) -> DataFrame:
     """``mix, shard, position, doc_id, source, copy, tokens``: the documents of each mix, in shards that are each in random order.
 
     ``sizes`` (doc_id, source, tokens) must be cheap to read again. ``copy`` counts a document's uses from 1.
@@ -88,14 +108,14 @@ def draw(sizes: DataFrame, planned: DataFrame, block_docs: int = BLOCK_DOCS, sha
     q = planned.where("wanted > 0").select("mix", "source", "wanted", "available", "max_repeats")
     passes = F.least(F.floor(F.col("wanted") / F.col("available") + 1e-9), F.col("max_repeats").cast("bigint"))
     q = q.withColumn("whole", passes).withColumn("rest", F.when(F.col("whole") < F.col("max_repeats"), F.greatest(F.col("wanted") - F.col("whole") * F.col("available"), F.lit(0.0))).otherwise(0.0))
-    units = q.join(blocks, "source").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("whole") + 1)))
-    order = F.xxhash64(F.lit(seed), "mix", "source", "copy", "block")
+    per_source = materialize(blocks.groupBy("source").agg(F.count("*").alias("blocks")), "per_source")
+    units = q.join(blocks, "source").join(per_source, "source").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("whole") + 1)))
+    units = _in_order(units.withColumn("order", F.xxhash64(F.lit(seed), "mix", "source", "copy", "block")), range_blocks)
     # the last pass takes blocks as long as there is room for tokens
-    in_pass = W.partitionBy("mix", "source", "copy").orderBy("order", "block")
-    units = units.withColumn("order", order).withColumn("room", F.col("rest") - F.coalesce(F.sum("block_tokens").over(in_pass.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     last = F.col("copy") > F.col("whole")
+    units = units.withColumn("room", F.col("rest") - F.col("tokens_before"))
     units = units.where(~last | (F.col("room") > 0)).withColumn("room", F.when(last & (F.col("room") < F.col("block_tokens")), F.col("room")))
-    units = units.withColumn("unit", F.row_number().over(W.partitionBy("mix", "source").orderBy("copy", "order", "block")).cast("bigint"))
+    units = units.withColumn("unit", (F.col("copy") - 1) * F.col("blocks") + F.col("place"))
     units = materialize(units.select("mix", "source", "copy", "block", "unit", "room"), "units")
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:

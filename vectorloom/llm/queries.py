@@ -9,9 +9,9 @@ from .encode import decode_ids, encode_texts
 from .clusters import describe_clusters, similarity_clusters
 from .mixture import mix_documents, mix_report
 from .neighbours import similar_pairs, similar_vectors
-from .subset import varied_subsets
+from .subset import group_value, varied_subsets
 from .toxicity import THRESHOLD, source_rates, toxicity_scores
-from .vectors import unpack_id
+from .vectors import unpack_id, usable_vectors
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,5 +78,32 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_rates(toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p3_subsets": p3_subsets, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_drawn": p7_drawn, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+def p3_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each request: how many were chosen, whether each counts once and is of the collection, and how many values of the key have a place."""
+    vectors, requests = table(spark, sf_dir, "vectors"), table(spark, sf_dir, "subset_requests")
+    usable = usable_vectors(vectors, 64, "metadata").join(requests.dropDuplicates(["request_id"]).select("request_id", "collection", "group_key"), "collection")
+    chosen = varied_subsets(vectors, requests).join(usable.select("request_id", "id", group_value(F.col("metadata"), F.col("group_key")).alias("value")), ["request_id", "id"], "left")
+    c = chosen.groupBy("request_id").agg(F.count("*").alias("chosen"), F.count_distinct("id").alias("different"), F.count_distinct("value").alias("values"))
+    return c.select("request_id", "chosen", (F.col("chosen") == F.col("different")).alias("once"), "values")
+
+
+def p7_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each mix and source: whether its tokens are its share to a document, and whether no document is drawn too often."""
+    drawn, planned = mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    drawn = drawn.select("mix", "source", "doc_id", "tokens")
+    longest = drawn.groupBy("mix", "source").agg(F.max("tokens").alias("longest"))
+    r = mix_report(drawn, planned).join(planned.select("mix", "source", "wanted"), ["mix", "source"]).join(longest, ["mix", "source"], "left")
+    met = F.abs(F.col("tokens") - F.col("wanted")) <= F.coalesce("longest", F.lit(0)) / 2 + 1
+    return r.select("mix", "source", met.alias("met"), (F.col("most_uses") <= F.col("max_repeats")).alias("within_repeats"))
+
+
+def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each source: its documents, and whether its rates are those of its scores."""
+    s = toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
+    r = source_rates(s)
+    ok = (F.col("rate") == F.round(F.col("toxic") / F.col("documents"), 6)) & F.col("rate").between(0, 1)
+    return r.select("source", "documents", ok.alias("rate_of_scores"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p3_subsets": p3_subsets, "p3_check": p3_check, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_drawn": p7_drawn, "p7_shares": p7_shares, "p7_check": p7_check, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates, "p8_check": p8_check}
 from .oracles import SQL  # noqa: E402, F401
