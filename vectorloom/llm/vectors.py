@@ -62,7 +62,8 @@ def groups(u: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     group: no row is dropped, and no group holds more than about two blocks. The number of cells follows from the collection's size by one formula;
     a small collection has one, and each copy of a row goes through one shuffle.
     """
-    counts = u.groupBy("collection").agg(F.count("*").alias("n"))
+    # written, the counts and the sizes have a known size, so they are broadcast as long as they are small, and the vectors aren't shuffled for them
+    counts = materialize(u.groupBy("collection").agg(F.count("*").alias("n")), "counts")
     rows = u.join(counts.select("collection", cells_for(F.col("n"), block_rows).alias("cells")), "collection")
     # the cells are found twice, which costs less than to write each copy of each vector
     sizes = _cut(rows.select("collection", "data", "cells")).groupBy("collection", "cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("m"))
