@@ -10,7 +10,7 @@ from vectorloom.llm.mixture import deal, draw, mix_documents, mix_report, plan
 
 need = pytest.mark.skipif(not os.path.exists(f"{TOKENIZERS}/byte_bpe_50k.tiktoken"), reason="no tokenizer files")
 TEXTS = [
-    "Hello world, it's 3 o'clock.", "", None, "   ", "\n\n  a\t\tb  ", "naïve Ærø — 東京タワー 🚀👩‍👩‍👧", "<|endoftext|> is text", "x" * 20_000, "don't'll 've  's", "  wide　blanks\u0085", "é कि ١٢٣ Ⅷ ½", "\x00\x1f�", "Hello world, it's 3 o'clock.",
+    "Hello world, it's 3 o'clock.", "", None, "   ", "\n\n  a\t\tb  ", "naïve Ærø — 東京タワー 🚀👩‍👩‍👧", "<|endoftext|> is text", "x" * 20_000, "don't'll 've  's", "  wide　blanks\u0085", "é कि ١٢٣ Ⅷ ½", "\x00\x1f�", "Hello world, it's 3 o'clock.", f"{'-' * 70} ruler {'-' * 70}", f"{'-' * 70}\n{'=' * 99}",
 ]
 
 

@@ -22,6 +22,7 @@ TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: At most so many words of at most so many bytes are sent to every task (under 45 MB; a few MB as a rule).
 FREQUENT_WORDS, FREQUENT_BYTES = 1 << 17, 64
+SALTS = 16
 
 
 def vocabulary(name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> dict[bytes, int]:
@@ -144,8 +145,12 @@ def encode_texts(texts: DataFrame, key: str = "doc_id", text: str = "text", out:
 
 def _fill(placed: DataFrame, table: DataFrame, counts: bool) -> DataFrame:
     """The ids of the words that are not frequent, joined on the word and put back in their places."""
+    # a word that is too long to be sent may be as frequent as any, a ruler of dashes for one, so such words are joined over salts
+    long_ = F.octet_length("word") > FREQUENT_BYTES
     asked = placed.where(F.size("others") > 0).select("row", F.posexplode("others").alias("slot", "word"))
-    got = asked.join(table.select("word", "ids"), "word")
+    asked = asked.withColumn("salt", F.when(long_, F.pmod(F.xxhash64("row", "slot"), F.lit(SALTS))).otherwise(0).cast("int"))
+    words = table.select("word", "ids", F.explode(F.when(long_, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    got = asked.join(words, ["word", "salt"])
     if counts:
         more = got.groupBy("row").agg(F.sum(F.size("ids")).alias("more"))
         return placed.join(more, "row", "left").withColumn("out", F.col("out") + F.coalesce("more", F.lit(0)))
@@ -155,13 +160,16 @@ def _fill(placed: DataFrame, table: DataFrame, counts: bool) -> DataFrame:
 
     def fill(batches):
         for b in batches:
-            lists = []
-            for ids, slots in zip(b["out"].to_pylist(), b["slots"].to_pylist(), strict=True):
-                if slots:
-                    rest = iter(slots)
-                    ids = [i for x in ids for i in (next(rest) if x < 0 else (x,))]
-                lists.append(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32())) if c == "out" else b[c] for c in kept], names=kept)
+            ids, lists = b["out"].flatten().to_numpy(), b["slots"].flatten()
+            start, size = np.arange(len(ids)), np.ones(len(ids), np.int64)
+            holes = np.flatnonzero(ids < 0)
+            size[holes] = lists.value_lengths().to_numpy()
+            start[holes] = len(ids) + lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+            flat = np.concatenate([ids, lists.flatten().to_numpy()])[_spread(start, size)].astype(np.int32)
+            total = np.r_[0, np.cumsum(size)]
+            ends = np.r_[0, np.cumsum(b["out"].value_lengths().to_numpy())]
+            out = pa.ListArray.from_arrays(pa.array(total[ends].astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([out if c == "out" else b[c] for c in kept], names=kept)
 
     return both.mapInArrow(fill, both.select(*kept).schema)
 
