@@ -78,10 +78,12 @@ def k_nearest(d: np.ndarray, k: int) -> np.ndarray:
         return np.argsort(d, axis=1, kind="stable")
     if k < 1:
         return np.empty((len(d), 0), np.int64)
-    # places of what is less than the k-th least, and of as many that equal it as there is room for, the smaller first
     kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-    less, equal = d < kth, d == kth
-    take = less | (equal & (np.cumsum(equal, axis=1) <= k - less.sum(axis=1, keepdims=True)))
+    take = d <= kth
+    # of places that equal the k-th least as many as there is room for, the smaller first
+    for row in np.flatnonzero(np.count_nonzero(take, axis=1) > k):
+        equal = np.flatnonzero(d[row] == kth[row])
+        take[row, equal[k - np.count_nonzero(d[row] < kth[row]) :]] = False
     top = np.nonzero(take)[1].reshape(len(d), k)
     return np.take_along_axis(top, np.argsort(np.take_along_axis(d, top, 1), axis=1, kind="stable"), 1)
 

@@ -19,6 +19,16 @@ _OWN: list[str] = []
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
+@atexit.register
+def _at_exit() -> None:
+    """No result outlives the program, so its scratch tables go with it, if the session still runs; ``release`` is for programs that run long."""
+    for spark, path in _WRITTEN:
+        try:
+            delete_path(spark, path)
+        except Exception:  # noqa: BLE001 - the session has ended; what is left is for the cluster's own cleaning
+            return
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables in ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
