@@ -211,3 +211,24 @@ def test_orphans_and_migration(client, spark, tmp_path):
         return df.withColumn("data", F.concat("data", F.array(F.lit(0.0).cast("float")))), config
 
     assert other.store.migrate("bare", "wide", wider) == 1 and other.get_vector("wide", "b")["data"] == [1.0, 1.0, 0.0]
+
+
+def test_keys(client, spark):
+    from vectorloom.access import Access, Grant
+    from vectorloom.errors import AccessDenied
+
+    client.insert_vectors("docs", rows("a", "b", "c"))
+    access = Access()
+    reader = access.create_key("reader", [Grant("read", "docs", {"n": 1})])
+    writer, brief = access.create_key("writer", [Grant("write", "docs")]), access.create_key("brief", [Grant("admin")], seconds=0)
+    at = lambda key: Client(spark, client.store.root, access, key)
+    assert at(reader).count("docs") == 1 and [r.id for r in at(reader).search("docs", [0.0, 1.0], 5).collect()] == ["b"] and at(reader).get_vector("docs", "b")["id"] == "b"
+    with pytest.raises(NotFound):
+        at(reader).get_vector("docs", "a")
+    assert at(writer).delete_vectors("docs", ["a"]) == 1 and at(writer).count("docs") == 2
+    for call in (lambda: at(reader).insert_vectors("docs", rows("z")), lambda: at(writer).delete_collection("docs"), lambda: at(brief).count("docs"), lambda: at(None).count("docs"), lambda: at(reader).count("other")):
+        with pytest.raises(AccessDenied):
+            call()
+    assert access.revoke(writer) and not access.revoke(writer) and [k[0] for k in access.list_keys()] == ["reader", "brief"]
+    with pytest.raises(AccessDenied):
+        at(writer).count("docs")

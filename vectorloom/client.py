@@ -5,11 +5,13 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .access import Access
 from .errors import InvalidDimension, InvalidInput, NotFound
 from .metrics import Metrics
 from .operators import bm25, fusion, search as s
@@ -23,15 +25,27 @@ def payload_value(metadata: Column, key: str) -> Column:
 
 
 class Client:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.store, self.metrics = spark, Store(spark, root), Metrics()
+    def __init__(self, spark: SparkSession, root: str, access: Access | None = None, key: str | None = None):
+        """Without ``access`` everything is allowed; with it, what ``key`` is granted."""
+        self.spark, self.store, self.metrics, self.access, self.key = spark, Store(spark, root), Metrics(), access, key
+
+    def _require(self, action: str, name: str) -> list[dict]:
+        return self.access.require(self.key, action, name) if self.access else []
+
+    def _read(self, name: str) -> DataFrame:
+        """The rows of a collection that the key may read."""
+        some = [compile_filter(w, F.col("metadata")) for w in self._require("read", name)]
+        rows = self.store.read(name)
+        return rows.where(reduce(lambda a, b: a | b, some)) if some else rows
 
     def create_collection(self, name: str, dimension: int, distance_metric: str = "cosine", **more) -> CollectionConfig:
+        self._require("admin", name)
         return self.store.create_collection(CollectionConfig(name, dimension, distance_metric, **more))
 
     create_collection_simple = create_collection
 
     def delete_collection(self, name: str, hard: bool = False) -> None:
+        self._require("admin", name)
         (self.store.hard_delete_collection if hard else self.store.delete_collection)(name)
 
     def get_collection(self, name: str) -> CollectionConfig:
@@ -61,6 +75,7 @@ class Client:
 
     def insert_vectors(self, name: str, vectors) -> int:
         """Dicts (id, data, metadata) or a DataFrame; of any number, so there is nothing to batch."""
+        self._require("write", name)
         with self.metrics.timed("insert", name):
             n = self.store.insert(name, self._frame(vectors))
         self.metrics.add("vectors_inserted", name, n)
@@ -79,12 +94,15 @@ class Client:
         self.insert_vectors(name, [{"id": id, "data": data, "metadata": metadata}])
 
     def get_vector(self, name: str, id: str) -> dict:  # noqa: A002
-        row = self.store.get(name, id).first()
+        row = self.store.get(name, id)
+        some = [compile_filter(w, F.col("metadata")) for w in self._require("read", name)]
+        row = (row.where(reduce(lambda a, b: a | b, some)) if some else row).first()
         if row is None:
             raise NotFound(id)
         return row.asDict()
 
     def delete_vectors(self, name: str, ids: Sequence[str]) -> int:
+        self._require("write", name)
         return self.store.delete(name, self.spark.createDataFrame([(i,) for i in ids], "id string"))
 
     def delete_vector(self, name: str, id: str) -> bool:  # noqa: A002
@@ -100,18 +118,20 @@ class Client:
         if not 1 <= limit <= 10_000:
             raise InvalidInput("a limit is from 1 to 10000")
         with self.metrics.timed("search", name):
+            some = self._require("read", name)
             if not exact and not offset:
-                if self.store.index_of(name):
+                if self.store.index_of(name) and not some:
                     return self.store.search_index(name, query, limit, where=filter)
                 kind = (c.quantization or {}).get("kind")
                 if kind in ("scalar", "binary"):
-                    rows = s._kept(self.store.read(name), s.Columns(), filter)
+                    rows = s._kept(self._read(name), s.Columns(), filter)
                     return s.prefetch_rescore(rows, query, [s.quantized_distance(kind, F.col("data"), query, c.distance_metric)], oversample * limit, limit, c.distance_metric)
-            return s.knn(self.store.read(name), query, limit, c.distance_metric, filter, offset)
+            return s.knn(self._read(name), query, limit, c.distance_metric, filter, offset)
 
     search_simple = search
 
     def build_index(self, name: str, cells: int | None = None) -> dict:
+        self._require("admin", name)
         with self.metrics.timed("build_index", name):
             return self.store.build_index(name, cells)
 
@@ -120,18 +140,18 @@ class Client:
     def facet(self, name: str, key: str, limit: int = 10, filter: dict | None = None) -> DataFrame:  # noqa: A002
         """``value, count`` of a payload key's most frequent values."""
         where = compile_filter(filter, F.col("metadata")) if filter else None
-        return s.facet(self.store.read(name), payload_value(F.col("metadata"), key), limit, where)
+        return s.facet(self._read(name), payload_value(F.col("metadata"), key), limit, where)
 
     def search_groups(self, name: str, query: Sequence[float], group_by: str, group_size: int = 3, limit: int = 10, filter: dict | None = None) -> DataFrame:  # noqa: A002
-        return s.search_groups(self.store.read(name), query, payload_value(F.col("metadata"), group_by), group_size, limit, self.store.config(name).distance_metric, filter)
+        return s.search_groups(self._read(name), query, payload_value(F.col("metadata"), group_by), group_size, limit, self.store.config(name).distance_metric, filter)
 
     def prefetch(self, name: str, query: Sequence[float], limit: int = 10, kind: str = "scalar", per_prefetch: int = 100) -> DataFrame:
         by = self.store.config(name).distance_metric
-        return s.prefetch_rescore(self.store.read(name), query, [s.quantized_distance(kind, F.col("data"), query, by)], per_prefetch, limit, by)
+        return s.prefetch_rescore(self._read(name), query, [s.quantized_distance(kind, F.col("data"), query, by)], per_prefetch, limit, by)
 
     def hybrid_search(self, name: str, query: Sequence[float], terms: dict[str, float], text_key: str = "text", limit: int = 10, per_list: int = 100, method: str = "relative_score") -> DataFrame:
         """``id, score`` of vectors and of the words of a payload key together."""
-        rows = self.store.read(name)
+        rows = self._read(name)
         dense = s.knn(rows, query, per_list, self.store.config(name).distance_metric)
         texts = rows.select("id", payload_value(F.col("metadata"), text_key).alias("text"))
         return fusion.hybrid(dense.select("id", "distance"), bm25.search_texts(texts, terms, per_list, "id").withColumnRenamed("doc", "id"), limit, method)
@@ -139,13 +159,15 @@ class Client:
     def search_sparse(self, name: str, query: dict[int, float], key: str = "sparse", limit: int = 10) -> DataFrame:
         """``doc, score`` of BM25 over the sparse vector ``{indices, values}`` of a payload key."""
         kind = "struct<indices:array<int>,values:array<double>>"
-        rows = self.store.read(name).select("id", F.from_json(payload_value(F.col("metadata"), key), kind).alias("sparse")).where("sparse.indices IS NOT NULL")
+        rows = self._read(name).select("id", F.from_json(payload_value(F.col("metadata"), key), kind).alias("sparse")).where("sparse.indices IS NOT NULL")
         return bm25.search(bm25.sparse_postings(rows, "id", "sparse"), query, limit)
 
     def backup(self, name: str) -> str:
+        self._require("admin", name)
         return self.store.backup(name)
 
     def restore(self, path: str, name: str | None = None) -> str:
+        self._require("admin", name or "*")
         return self.store.restore(path, name)
 
     def list_deleted(self) -> list[tuple[str, str, float]]:
@@ -158,19 +180,19 @@ class Client:
         return self.store.cleanup_snapshots(keep, name)
 
     def batch_search(self, name: str, queries: DataFrame, limit: int = 10) -> DataFrame:
-        return s.batch_knn(self.store.read(name), queries, limit, self.store.config(name).distance_metric)
+        return s.batch_knn(self._read(name), queries, limit, self.store.config(name).distance_metric)
 
     def recommend(self, name: str, positive, negative=(), limit: int = 10, **more) -> DataFrame:
-        return s.recommend(self.store.read(name), positive, negative, limit, self.store.config(name).distance_metric, **more)
+        return s.recommend(self._read(name), positive, negative, limit, self.store.config(name).distance_metric, **more)
 
     def discover(self, name: str, target, context=(), limit: int = 10, **more) -> DataFrame:
-        return s.discover(self.store.read(name), target, context, limit, self.store.config(name).distance_metric, **more)
+        return s.discover(self._read(name), target, context, limit, self.store.config(name).distance_metric, **more)
 
     def scroll(self, name: str, **more) -> DataFrame:
-        return s.scroll(self.store.read(name), **more)
+        return s.scroll(self._read(name), **more)
 
     def count(self, name: str, filter: dict | None = None, exact: bool = True) -> int:  # noqa: A002
-        return s.count(self.store.read(name), filter, exact).first()[0]
+        return s.count(self._read(name), filter, exact).first()[0]
 
     def live(self) -> bool:
         """Whether the session runs."""
@@ -221,6 +243,7 @@ class Client:
         return self.metrics.frame(self.spark)
 
     def create_snapshot(self, name: str) -> dict:
+        self._require("admin", name)
         return self.store.create_snapshot(name)
 
     def list_snapshots(self, name: str | None = None) -> list[dict]:
@@ -233,4 +256,5 @@ class Client:
         self.store.delete_snapshot(snap)
 
     def restore_snapshot(self, snap: str, name: str | None = None) -> str:
+        self._require("admin", name or "*")
         return self.store.restore_snapshot(snap, name)

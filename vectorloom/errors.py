@@ -33,3 +33,7 @@ class NotFound(VectorloomError):
 
 class Corruption(VectorloomError):
     pass
+
+
+class AccessDenied(VectorloomError):
+    pass
