@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vectorloom.llm import toxicity as tox
-from vectorloom.llm.encode import TOKENIZERS, decode_ids, encode_texts, vocabulary, word_table
+from vectorloom.llm.encode import PATTERN, SPARK_PATTERN, TOKENIZERS, decode_ids, encode_texts, vocabulary, word_table
 from vectorloom.llm.mixture import deal, draw, mix_documents, mix_report, plan
 
 need = pytest.mark.skipif(not os.path.exists(f"{TOKENIZERS}/byte_bpe_50k.tiktoken"), reason="no tokenizer files")
@@ -34,6 +34,14 @@ def test_encoding_equals_the_tokenizer(spark, frequent):
     assert back == {i if i else None: x or "" for i, x in enumerate(TEXTS)}
 
 
+def test_the_shorter_pattern_cuts_the_same_words(spark):
+    rng = np.random.default_rng(21)
+    signs = list("  \t\n\u00a0\u3000'’sStTrevmlLd aé1٣Ⅷ½.,-_*\u200b̈🚀東ー") + ["'ll", "'ve", "'re", "  "]
+    texts = TEXTS + ["".join(rng.choice(signs, rng.integers(1, 40))) for _ in range(3000)]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert d.where(~F.regexp_extract_all("t", F.lit(SPARK_PATTERN), F.lit(0)).eqNullSafe(F.regexp_extract_all("t", F.lit("(?U)" + PATTERN), F.lit(0)))).count() == 0
+
+
 @need
 def test_encoding_repeated_rows_and_empty_tables(spark):
     twice = docs(spark).unionByName(docs(spark))

@@ -20,6 +20,8 @@ from ..session import materialize
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 #: How a text is cut into words: the published pattern of this tokenizer. White space is that of Unicode.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same words in fewer steps: beginnings that alternatives share are tried once, and runs of a class, which exclude each other, aren't given back.
+SPARK_PATTERN = r"(?U)'(?:s|t|re|ve|m|ll|d)| ?+(?:\p{L}++|\p{N}++|[^\s\p{L}\p{N}]++)|\s+(?!\S)|\s+"
 #: At most so many words of at most so many bytes are sent to every task (under 45 MB; a few MB as a rule).
 FREQUENT_WORDS, FREQUENT_BYTES = 1 << 17, 64
 SALTS = 16
@@ -44,7 +46,7 @@ def _encoder(name: str, folder: str):
 
 def words_of(text: Column) -> Column:
     """The words of a text in order; together they are the text. Null for null, none for an empty text."""
-    return F.regexp_extract_all(text, F.lit("(?U)" + PATTERN), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(SPARK_PATTERN), F.lit(0))
 
 
 def word_table(texts: DataFrame, text: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
