@@ -139,6 +139,12 @@ def test_equal_vectors(spark):
     want = {tuple(sorted((uid(i), uid(j)))) for i, j in exact_neighbours(unit(x), 5, 0.86)}
     got = similar_pairs(frame(spark, {"c": x})).select(unpack_id(F.col("id_a")).alias("a"), unpack_id(F.col("id_b")).alias("b")).collect()
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+    # as clusters: copies that are linked to others, copies that aren't, and few copies
+    x[60:70], x[80:84] = np.eye(64)[7], np.eye(64)[9]
+    a, b = np.nonzero(np.triu(unit(x) @ unit(x).T >= 0.86, 1))
+    comp = k._components(len(x), a, b)
+    members = similarity_clusters(frame(spark, {"c": x, "d": x[:1]}))[0].select(unpack_id(F.col("id")).alias("id"), unpack_id(F.col("cluster_id")).alias("c")).collect()
+    assert {(r.id, r.c) for r in members} == {(uid(i), uid(comp[i])) for i in set(a.tolist()) | set(b.tolist())} and len(members) == len(set(a.tolist()) | set(b.tolist()))
 
 
 def test_unusable_rows(spark):

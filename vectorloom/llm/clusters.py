@@ -21,6 +21,9 @@ from ..session import materialize
 from .kernels import k_means, matrix, spectral_sets
 from .vectors import BLOCK_ROWS, groups, usable_vectors
 
+#: More equal vectors than these are represented by one while links are sought; their joins are spread over so many salts.
+COPIES, SALTS = 6, 32
+
 
 def group_clusters(u: DataFrame, least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``collection, id, low`` of each record that is linked to another in one of its groups: the smallest id of its cluster there."""
@@ -81,6 +84,33 @@ def similarity_clusters(vectors: DataFrame, least: float = 0.86, dims: int = 64,
     smallest id. Records with unusable data are left out; an empty table gives no rows.
     """
     u = materialize(usable_vectors(vectors, dims), "usable")
+    extra = equal_copies(u, COPIES)
+    if extra is None:
+        return _members(u, least, block_rows), u
+    # of many equal vectors the first stands for all, so a hot set of copies isn't compared with itself
+    found = materialize(_members(materialize(u.join(extra.select("collection", "id"), ["collection", "id"], "left_anti"), "distinct"), least, block_rows), "members")
+    models = extra.select("collection", F.col("model").alias("id")).distinct().join(found, ["collection", "id"], "left")
+    models = materialize(models.select("collection", "id", F.coalesce("cluster_id", "id").alias("cluster_id"), F.col("cluster_id").isNull().alias("alone")), "models")
+    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
+    named = models.select("collection", F.col("id").alias("model"), "cluster_id", salts.alias("salt"))
+    copies = extra.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).join(named, ["collection", "model", "salt"])
+    found = found.unionByName(models.where("alone").select("collection", "id", "cluster_id"))
+    return found.unionByName(copies.select("collection", "id", "cluster_id")), u
+
+
+def equal_copies(u: DataFrame, most: int) -> DataFrame | None:
+    """``collection, id, model`` of all but the first of more than ``most`` equal vectors of a collection, the model being the first; None if there are none."""
+    keys = u.select("collection", "id", F.xxhash64("data").alias("h"), F.xxhash64(F.lit(1), "data").alias("g"))
+    same = ["collection", "h", "g"]
+    many = materialize(keys.groupBy(*same).agg(F.count("*").alias("n"), F.min("id").alias("model")).where(F.col("n") > most).drop("n"), "many")
+    if many.isEmpty():
+        return None
+    many = many.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    rows = keys.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).join(many, [*same, "salt"])
+    return materialize(rows.where("id != model").select("collection", "id", "model"), "equal")
+
+
+def _members(u: DataFrame, least: float, block_rows: int) -> DataFrame:
     own = group_clusters(u, least, block_rows).groupBy("collection", "id").agg(F.min("low").alias("low"), F.collect_set("low").alias("lows"))
     own = materialize(own, "own")
     # a record's groups are few (see ``groups``), and where they name its cluster differently the clusters are one
@@ -89,7 +119,7 @@ def similarity_clusters(vectors: DataFrame, least: float = 0.86, dims: int = 64,
     merged = connect(apart.select(key("low").alias("a"), key("other").alias("b")), "merge")
     merged = merged.select(F.col("node.collection").alias("collection"), F.col("node.id").alias("low"), F.col("low.id").alias("to"))
     final = own.select("collection", "id", "low").join(merged, ["collection", "low"], "left")
-    return final.select("collection", "id", F.coalesce("to", "low").alias("cluster_id")), u
+    return final.select("collection", "id", F.coalesce("to", "low").alias("cluster_id"))
 
 
 def describe_clusters(members: DataFrame, usable: DataFrame, typical: int = 3) -> DataFrame:
