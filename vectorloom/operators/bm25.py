@@ -88,13 +88,13 @@ class Bm25Index:
     def bucket(term: Column, buckets: int) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
-    def build(self, docs: DataFrame, doc: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> "Bm25Index":
+    def build(self, docs: DataFrame, doc: str = "doc_id", text: str = "text", buckets: int = BUCKETS, salts: int = 64) -> "Bm25Index":
         """Write the index; texts without terms, and null ones, aren't documents of it. A document that comes in several rows counts as their union."""
         words = docs.select(F.col(doc).alias("doc"), F.explode(tokens(F.col(text))).alias("term"))
-        # a frequent term's postings are salted over several tasks by document
+        # a frequent term's postings are spread over ``salts`` parts of its bucket by document
         tf = words.groupBy("doc", "term").agg(F.count("*").cast("double").alias("tf"))
         tf = tf.withColumn("len", F.count("*").over(W.partitionBy("doc"))).withColumn("bucket", self.bucket(F.col("term"), buckets))
-        tf = tf.repartition(F.col("bucket"), F.pmod(F.xxhash64("doc"), F.lit(4))).sortWithinPartitions("bucket", "term", "doc")
+        tf = tf.repartition(F.col("bucket"), F.pmod(F.xxhash64("doc"), F.lit(salts))).sortWithinPartitions("bucket", "term", "doc")
         tf.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
         kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tf.schema)
         lengths = self.spark.read.schema(kind).parquet(f"{self.path}/postings").select("doc", "len").distinct()
